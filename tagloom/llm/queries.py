@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tagloom.llm import exact_dedup, mixing, sharding
+from tagloom.llm import exact_dedup, mixing, secrets, sharding
 
 
 def queries() -> dict:
     return {
         "op4_sharding": sharding.op4_sharding,
+        "op6_secrets": secrets.op6_secrets,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
     }
