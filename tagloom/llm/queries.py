@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tagloom.llm import exact_dedup, mixing, secrets, sharding
+from tagloom.llm import exact_dedup, minhash, mixing, secrets, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_minhash": minhash.op2_minhash,
         "op4_sharding": sharding.op4_sharding,
         "op6_secrets": secrets.op6_secrets,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op2_minhash": minhash.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
