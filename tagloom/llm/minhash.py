@@ -4,11 +4,10 @@ One permutation yields two signature values, its minimum and its maximum over th
 give as many values, with less variance. Bands of ``rows`` values are the buckets.
 
 How links are found without all pairs of a bucket: documents of equal shingle sets are one class. In each bucket
-the least class is a pivot that is compared with all others, then leaves. Components are taken. Buckets whose
-classes are all in one component are done, as no further link can change anything. In the others, up to
-``PIVOTS`` classes outside the bucket's largest component are the next pivots, compared with every class of
-another component, and leave. That goes on until every bucket is done: each pair of a bucket has then been
-compared or is in one component, with no cap on partners.
+the least class is a pivot that is compared with all others, then leaves, and components are taken. A bucket whose
+classes are in one component is done, as no further link can change anything. The classes of the others get new,
+finer buckets by prefix filtering, which loses no pair; there up to ``PIVOTS`` classes at a time are compared with
+the classes of other components, and leave, until every bucket is done. Nothing caps partners or candidates.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from tagloom.llm.common import stash
 from tagloom.llm.components import components
 
 WIDTH = 5
-PIVOTS = 16
+PIVOTS = 64
 SEED = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -156,37 +155,65 @@ def confirm(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
     return at_u.where(test(F.col("iu"), F.col("iv"))).select("u", "v")
 
 
-def linked_components(members: DataFrame, sets_of, test, sizes_may) -> DataFrame:
-    """Components of the classes that ``test`` links and that share a bucket: ``node, component``, linked nodes only.
+def linked_components(members: DataFrame, sets_of, num: int, den: int) -> DataFrame:
+    """Components of the classes with Jaccard similarity num/den or more that share a bucket: ``node, component``.
 
-    ``members``: ``bucket, node, n`` (set size). ``sets_of(nodes)`` gives ``node, items`` for a table of nodes,
-    ``test(a, b)`` decides on two item arrays, ``sizes_may(m, n)`` says whether sets of these sizes can pass.
+    ``members``: ``bucket, node, n`` (set size); ``sets_of(nodes)`` gives ``node, items`` for a table of nodes.
+    Only linked nodes are returned.
     """
+    may = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)
     shared = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p")).where("c > 1").select("bucket", "p")
-    rest = stash(members.join(stash(shared, "shared"), "bucket"), "members")
-    first = rest.where((F.col("node") != F.col("p.node")) & sizes_may(F.col("n"), F.col("p.n")))
-    pairs = stash(first.select(F.col("node").alias("u"), F.col("p.node").alias("v")).distinct(), "pairs")
-    sets = stash(sets_of(stash(rest.select("node").distinct(), "nodes")), "sets")
-    links = stash(confirm(pairs, sets, test), "links")
-    found, checked = components(links), pairs
-    rest = rest.where(F.col("node") != F.col("p.node")).drop("p")
+    rest = stash(members.join(stash(shared, "shared"), "bucket").where("node != p.node"), "members")
+    pairs = rest.where(may(F.col("n"), F.col("p.n"))).select(F.col("node").alias("u"), F.col("p.node").alias("v")).distinct()
+    pairs = stash(pairs, "pairs")
+    sets = stash(sets_of(stash(rest.select("node").union(rest.select("p.node")).distinct(), "nodes")), "sets")
+    found = components(stash(confirm(pairs, sets, at_least(num, den)), "links"))
+    named = rest.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    open_ = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
+    nodes = stash(rest.select("bucket", "node").join(stash(open_, "open"), "bucket", "left_semi").select("node").distinct(), "nodes")
+    if nodes.isEmpty():
+        return found
+    return _by_prefix(stash(sets.join(nodes, "node", "left_semi"), "sets"), found, num, den)
+
+
+def _by_prefix(sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """What the first pivots left open, settled exactly by the rarest items of each set.
+
+    Items are ordered by how many of these sets hold them, then by value. If two sets of sizes m <= n pass, their
+    overlap is at least num * (m + n) / (num + den); so their first common item in that order stands among the
+    first n - overlap + 1 of both. These prefixes are the new buckets: in a large group of half-similar texts
+    the rare items of each text fill its prefix and part it from the rest. Of any pair that passes, the smaller
+    has the item in its short prefix (overlap for m = n), so only such members need to be pivots.
+    """
+    size = F.size("items").cast("long")
+    each = sets.select("node", size.alias("n"), F.explode("items").alias("item"))
+    counts = stash(each.groupBy("item").agg(F.count("*").alias("f")), "counts")
+    ranked = each.join(counts, "item").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("order"))
+    overlap = lambda m, n: -F.floor(-(num * (m + n)) / F.lit(num + den))
+    long_ = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
+    prefix = ranked.select("node", "n", F.posexplode(F.slice("order", 1, long_.cast("int"))).alias("pos", "o")).where("o.f > 1")
+    rest = stash(prefix.select(F.col("o.item").alias("bucket"), "node", "n", "pos"), "prefixes")
+    short = F.col("n") - overlap(F.col("n"), F.col("n"))
+    checked = None
     while True:
-        named = stash(rest.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("comp")), "named")
+        named = stash(rest.join(found, "node", "left").select("bucket", "node", "n", "pos", F.coalesce("component", "node").alias("comp")), "named")
         largest = named.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(
             F.max(F.struct("c", "comp")).alias("big"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("big.comp").alias("big"))
-        largest = stash(largest, "open")
-        if largest.isEmpty():
-            return found
-        rest = stash(named.join(largest, "bucket"), "members")
+        rest = stash(named.join(stash(largest, "open"), "bucket"), "members")
         slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")
-        pivots = rest.where("comp != big").groupBy("bucket", slot).agg(F.min(F.struct("node", "n", "comp")).alias("p")).select("bucket", "p")
-        pivots = stash(pivots, "pivots")
-        pairs = rest.drop("big").join(pivots, "bucket").where((F.col("comp") != F.col("p.comp")) & sizes_may(F.col("n"), F.col("p.n")))
+        # the largest component's short members come last, when no other is left
+        pivots = rest.where(F.col("pos") <= short).groupBy("bucket", slot).agg(F.min(F.struct(F.expr("comp = big").alias("last"), "node", "n", "comp", "pos")).alias("p"))
+        pivots = stash(pivots.select("bucket", "p"), "pivots")
+        if pivots.isEmpty():
+            return found
+        need = overlap(F.col("n"), F.col("p.n"))
+        near = F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos")) >= need
+        pairs = rest.drop("big").join(pivots, "bucket").where((F.col("comp") != F.col("p.comp")) & near)
         pairs = pairs.select(F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v")).distinct()
-        pairs = stash(pairs.join(checked, ["u", "v"], "left_anti"), "pairs")
+        pairs = stash(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"), "pairs")
+        checked = pairs if checked is None else checked.unionByName(pairs)
         rest = rest.drop("big", "comp").join(pivots.select("bucket", F.col("p.node").alias("node")), ["bucket", "node"], "left_anti")
-        checked = checked.unionByName(pairs)
-        links = stash(confirm(pairs, sets, test), "links")
+        links = stash(confirm(pairs, sets, at_least(num, den)), "links")
         if not links.isEmpty():
             old = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
             found = components(links.unionByName(old))
@@ -217,8 +244,7 @@ def near_dups(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc
         return out if unique else out.groupBy("node").agg(F.min("items").alias("items"))
 
     members = reps.select(F.explode("keys").alias("bucket"), "node", "n")
-    may = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)
-    found = linked_components(members, sets_of, at_least(num, den), may)
+    found = linked_components(members, sets_of, num, den)
     named = stash(reps.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component")), "classes")
     out = signed.drop("keys").join(named, "set_hash", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -229,7 +255,8 @@ def op2_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
          ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
