@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tagloom.llm import exact_dedup, minhash, mixing, secrets, sharding
+from tagloom.llm import exact_dedup, langid, minhash, mixing, packing, secrets, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_langid": langid.op1_langid,
         "op2_minhash": minhash.op2_minhash,
         "op4_sharding": sharding.op4_sharding,
+        "op5_packing": packing.op5_packing,
         "op6_secrets": secrets.op6_secrets,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
