@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,12 +74,10 @@ def without_space(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
 
 
-def eq_null_safe(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
-    """Equality of the named columns where null equals null."""
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & a[n].eqNullSafe(b[n])
-    return cond
+def each_slice(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that what Python holds of long texts stays small."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -14,8 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.llm.common import each_slice as _each
 from tagloom.llm.common import stash
 from tagloom.llm.components import components
 
 WIDTH = 5
-PIVOTS = 64
+PIVOTS = 256
 SEED = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -91,12 +90,14 @@ def bands_for(threshold: float, miss: float = 1e-5) -> tuple[int, int]:
 def band_keys(sets: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Bucket keys of one set: values 2i and 2i+1 are minimum and maximum under permutation i."""
     perms = -(-bands * rows // 2)
-    values = np.empty(2 * perms, np.uint64)
-    salts = _mix(np.arange(1, perms + 1, dtype=np.uint64) * _M2)
-    for i in range(perms):
-        p = (sets ^ salts[i]) * (salts[i] | np.uint64(1))
+    salts = _mix(np.arange(1, perms + 1, dtype=np.uint64) * _M2)[:, None]
+    low, high = np.full(perms, np.iinfo(np.uint64).max, np.uint64), np.zeros(perms, np.uint64)
+    for i in range(0, len(sets), 2048):
+        p = (sets[None, i : i + 2048] ^ salts) * (salts | np.uint64(1))
         p ^= p >> np.uint64(32)
-        values[2 * i], values[2 * i + 1] = p.min(), p.max()
+        np.minimum(low, p.min(axis=1), out=low)
+        np.maximum(high, p.max(axis=1), out=high)
+    values = np.stack([low, high], axis=1).reshape(-1)
     values = values[: bands * rows].reshape(bands, rows)
     mult = _mix(np.arange(1, rows + 1, dtype=np.uint64) * _M1) | np.uint64(1)
     return _mix((_mix(values) * mult).sum(axis=1) + np.arange(bands, dtype=np.uint64) * np.uint64(SEED))
@@ -107,11 +108,6 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, np.concatenate([*arrays, np.empty(0, np.uint64)]).view(np.int64))
 
 
-def _each(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 def signatures(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     """``doc_id, n_shingles, set_hash, keys`` of a table ``doc_id, text`` (text as binary)."""
 
@@ -194,25 +190,32 @@ def _by_prefix(sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFra
     prefix = ranked.select("node", "n", F.posexplode(F.slice("order", 1, long_.cast("int"))).alias("pos", "o")).where("o.f > 1")
     rest = stash(prefix.select(F.col("o.item").alias("bucket"), "node", "n", "pos"), "prefixes")
     short = F.col("n") - overlap(F.col("n"), F.col("n"))
-    checked = None
+    checked, others_only = None, True
     while True:
         named = stash(rest.join(found, "node", "left").select("bucket", "node", "n", "pos", F.coalesce("component", "node").alias("comp")), "named")
-        largest = named.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(
-            F.max(F.struct("c", "comp")).alias("big"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("big.comp").alias("big"))
-        rest = stash(named.join(stash(largest, "open"), "bucket"), "members")
+        largest = named.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.min("n").alias("m")).groupBy("bucket").agg(
+            F.max(F.struct("c", "comp")).alias("big"), F.min("m").alias("least"), F.count("*").alias("k")).where("k > 1")
+        # a member that stands too far back in its order for even the smallest partner can go
+        rest = named.join(stash(largest.select("bucket", F.col("big.comp").alias("big"), "least"), "open"), "bucket")
+        rest = stash(rest.where(F.col("n") - F.col("pos") >= overlap(F.col("n"), F.col("least"))).drop("least"), "members")
         slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")
-        # the largest component's short members come last, when no other is left
-        pivots = rest.where(F.col("pos") <= short).groupBy("bucket", slot).agg(F.min(F.struct(F.expr("comp = big").alias("last"), "node", "n", "comp", "pos")).alias("p"))
+        eligible = (F.col("pos") <= short) & ((F.col("comp") != F.col("big")) if others_only else F.lit(True))
+        pivots = rest.where(eligible).groupBy("bucket", slot).agg(F.min(F.struct("node", "n", "comp", "pos")).alias("p"))
         pivots = stash(pivots.select("bucket", "p"), "pivots")
         if pivots.isEmpty():
-            return found
+            if not others_only:
+                return found
+            others_only, rest = False, rest.drop("big", "comp")  # what is left may need the largest components' members
+            continue
         need = overlap(F.col("n"), F.col("p.n"))
         near = F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos")) >= need
         pairs = rest.drop("big").join(pivots, "bucket").where((F.col("comp") != F.col("p.comp")) & near)
         pairs = pairs.select(F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v")).distinct()
         pairs = stash(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"), "pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
         rest = rest.drop("big", "comp").join(pivots.select("bucket", F.col("p.node").alias("node")), ["bucket", "node"], "left_anti")
+        if pairs.isEmpty():
+            continue
+        checked = pairs if checked is None else checked.unionByName(pairs)
         links = stash(confirm(pairs, sets, at_least(num, den)), "links")
         if not links.isEmpty():
             old = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
