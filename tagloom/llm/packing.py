@@ -12,6 +12,7 @@ bounded by the capacity, not by the data.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -92,28 +93,55 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return bins, runs
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of a table ``doc_id, text`` (text as binary, null: empty).
+#: Latin letters, then ASCII punctuation: this tokenizer parts a text between them in any case.
+_WORD_AND_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-/:-@\[-`{-~]*)")
 
-    White space of ASCII parts a text for this tokenizer, so ids are looked up for each distinct run of other
-    characters; the table of known runs is emptied when it is full.
-    """
 
-    def run(batches):
+class Known(dict):
+    """Ids, as little-endian bytes, of runs of other characters than white space; emptied when it is full."""
+
+    limit = 1_200_000
+
+    def __init__(self, tokenizer: str) -> None:
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(tokenizer).encode
+        self.encode = Tokenizer.from_file(tokenizer).encode
+
+    def __missing__(self, run: bytes) -> bytes:
+        text = run.decode("utf-8", "replace")
+        parts = _WORD_AND_MARKS.fullmatch(text) if len(run) <= 64 else None
+        if parts and parts[2]:
+            ids = self[parts[1].encode().lower()] + self[parts[2].encode()]
+        elif parts and (lower := run.lower()) != run:
+            ids = self[lower]
+        else:
+            ids = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(run) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[run] = ids
+        return ids
+
+
+_tables: dict[str, Known] = {}
 
-        class Known(dict):
-            def __missing__(self, word: bytes) -> bytes:
-                ids = np.array(encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-                if len(word) <= 64:
-                    if len(self) >= 400_000:
-                        self.clear()
-                    self[word] = ids
-                return ids
 
-        known, step = Known(), 4 * capacity
+def _known(tokenizer: str) -> Known:
+    """One table for all tasks of a Python worker."""
+    if tokenizer not in _tables:
+        _tables[tokenizer] = Known(tokenizer)
+    return _tables[tokenizer]
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` of a table ``doc_id, text`` (text as binary, null: empty).
+
+    White space of ASCII parts a text for this tokenizer, which also ignores case, so ids are looked up for each
+    distinct run of other characters.
+    """
+
+    def run(batches):
+        known, step = _known(tokenizer), 4 * capacity
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), ([], [], [], [], [])
             for doc, text in zip(ids, batch.column("text"), strict=True):
