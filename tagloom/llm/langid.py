@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tagloom.llm.common import each_slice as _each
 from tagloom.llm.common import stash
 
 DIM = 512
@@ -72,38 +73,53 @@ class Space:
         return self.letters[c]
 
     def bind(self, keys: np.ndarray) -> np.ndarray:
-        mask = (1 << 21) - 1
-        out = np.empty((len(keys), self.dim), np.float32)
-        for i, k in enumerate(keys.tolist()):
-            out[i] = np.roll(self.letter(k >> 42), 2) * np.roll(self.letter((k >> 21) & mask), 1) * self.letter(k & mask)
+        mask = np.uint64((1 << 21) - 1)
+        out = np.ones((len(keys), self.dim), np.float32)
+        for turn, shift in ((2, 42), (1, 21), (0, 0)):
+            letters, at = np.unique((keys >> np.uint64(shift)) & mask, return_inverse=True)
+            out *= np.roll(np.stack([self.letter(int(c)) for c in letters]), turn, axis=1)[at]
         return out
 
+    def learn(self, keys: np.ndarray) -> None:
+        """Adds the vectors of trigrams that the table lacks; a full table starts anew."""
+        keys = np.setdiff1d(keys, self.keys)
+        if len(keys):
+            if len(self.keys) + len(keys) > self.limit:
+                self.keys, self.table = self.keys[:0], self.table[:0]
+            keys = keys[: self.limit]
+            at = np.searchsorted(self.keys, keys)
+            self.keys, self.table = np.insert(self.keys, at, keys), np.insert(self.table, at, self.bind(keys), axis=0)
+
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = np.zeros(self.dim, np.float32)
         for i in range(0, len(keys), self.limit):
-            k = keys[i : i + self.limit]
+            k, n = keys[i : i + self.limit], counts[i : i + self.limit].astype(np.float32)
             at = np.searchsorted(self.keys, k)
             known = self.keys[np.minimum(at, len(self.keys) - 1)] == k if len(self.keys) else np.zeros(len(k), bool)
+            out += n[known] @ self.table[at[known]]
             if not known.all():
-                new = k[~known]
-                if len(self.keys) + len(new) > self.limit:
-                    self.keys, self.table = self.keys[:0], self.table[:0]
-                    new = k
-                keys_, table = np.concatenate([self.keys, new]), np.concatenate([self.table, self.bind(new)])
-                order = np.argsort(keys_)
-                self.keys, self.table = keys_[order], table[order]
-                at = np.searchsorted(self.keys, k)
-            out += counts[i : i + self.limit].astype(np.float32) @ self.table[at]
+                out += n[~known] @ self.bind(k[~known])
+        return out
+
+    def profiles(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The texts' vectors of length one; None without a letter."""
+        out: list[np.ndarray | None] = []
+        for i in range(0, len(texts), 64):
+            grams = [trigrams(t or "") for t in texts[i : i + 64]]
+            self.learn(np.unique(np.concatenate([k for k, _ in grams])))
+            for k, n in grams:
+                v = self.bundle(k, n)
+                norm = float(np.linalg.norm(v))
+                out.append(None if not len(k) else v / norm if norm else v)
         return out
 
-    def profile(self, text: str | None) -> np.ndarray | None:
-        """The text's vector of length one; None without a letter."""
-        k, n = trigrams(text or "")
-        if not len(k):
-            return None
-        v = self.bundle(k, n)
-        norm = float(np.linalg.norm(v))
-        return v / norm if norm else v
+
+_spaces: dict[int, Space] = {}
+
+
+def _space(dim: int) -> Space:
+    """One space for all tasks of a Python worker."""
+    return _spaces.setdefault(dim, Space(dim))
 
 
 def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, dim: int = DIM) -> tuple[list[str], np.ndarray]:
@@ -122,12 +138,12 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, dim: int = DIM) -> tupl
     chosen = stash(ids.withColumn("_r", rank).where(F.col("_r") <= per_lang).select("_h").distinct(), "chosen")
 
     def run(batches):
-        space, sums = Space(dim), {}
+        space, sums = _space(dim), {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                v = space.profile(text)
-                if v is not None:
-                    sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
+            for part in _each(batch):
+                for lang, v in zip(part.column("lang").to_pylist(), space.profiles(part.column("text").to_pylist()), strict=True):
+                    if v is not None:
+                        sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(v)], names=["lang", "i", "v"])
 
@@ -152,22 +168,16 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, id_col: s
     dim = prototypes.shape[1]
 
     def run(batches):
-        space = Space(dim)
+        space = _space(dim)
         for batch in batches:
-            ids = batch.column("doc_id")
-            texts = batch.column("text")
             langs, scores = [], []
-            for t in texts:
-                v = space.profile(t.as_py()) if names else None
-                if v is None:
-                    langs.append("und")
-                    scores.append(0.0)
-                else:
-                    cos = prototypes @ v
-                    best = int(cos.argmax())
-                    langs.append(names[best])
-                    scores.append(float(min(1.0, max(0.0, cos[best]))))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            for part in _each(batch):
+                for v in space.profiles(part.column("text").to_pylist()) if names else [None] * part.num_rows:
+                    cos = prototypes @ v if v is not None else None
+                    best = int(cos.argmax()) if v is not None else -1
+                    langs.append(names[best] if v is not None else "und")
+                    scores.append(float(min(1.0, max(0.0, cos[best]))) if v is not None else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
