@@ -20,14 +20,17 @@ _NAME = r"[^\x00-\x20&<=>/!?'\"\[\]]"
 _WS = r"[\x01-\x20]"
 _VALUE = rf"(\"[^\"<]*+\"|'[^'<]*+'|{_NAME}*+)"
 _ATTR = rf"\G{_WS}*+({_NAME}++){_WS}*+={_WS}*+{_VALUE}(?={_WS}|/|>|\?|$)"
-TOKEN = "struct<type:string,value:string,error:string>"
+TOKEN = "struct<type:string,value:string,error:string,tag:string,name:string,ord:int>"
 E = {"tag": "expected open tag", "xml": "expected XML tag", "attr": "expected tag attribute", "end": "expected tag end", "equal": "expected equal",
      "string": "string not terminated", "eot": "unexpected end of text", "entity": "undefined character entity", "dash": "expected 2nd dash"}
 
 
-def _token(kind: str, value: Column | str = "", error: str | None = None) -> Column:
+def _token(kind: str, value: Column | str = "", error: str | None = None, owner: tuple[Column, Column, Column] | None = None) -> Column:
+    """``owner``: the tag, name and place of an attribute."""
     value = F.lit(value) if isinstance(value, str) else value
-    return F.struct(F.lit(kind).alias("type"), value.alias("value"), F.lit(error).cast("string").alias("error"))
+    tag, name, place = owner or (F.lit(None),) * 3
+    return F.struct(F.lit(kind).alias("type"), value.alias("value"), F.lit(error).cast("string").alias("error"),
+                    tag.cast("string").alias("tag"), name.cast("string").alias("name"), place.cast("int").alias("ord"))
 
 
 def _error(code: str, value: Column | str = "") -> Column:
@@ -46,19 +49,20 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _value(kind: str, raw: Column, entities) -> Column:
+def _value(kind: str, raw: Column, entities, owner=None) -> Column:
     """A token with line ends and entities resolved, or the error of an unknown entity."""
-    return _let(decode_entities(normalise_eol(raw), entities), lambda v: F.when(v.isNull(), _error("entity", raw)).otherwise(_token(kind, v)))
+    return _let(decode_entities(normalise_eol(raw), entities), lambda v: F.when(v.isNull(), _error("entity", raw)).otherwise(_token(kind, v, None, owner)))
 
 
-def _attributes(rest: Column, names: str, values: str, last, entities) -> Column:
+def _attributes(tag: Column, rest: Column, names: str, values: str, last, entities) -> Column:
     """Name and value tokens of ``rest`` (what follows the tag's name), then ``last(remainder)``."""
     found = F.regexp_extract_all(rest, F.lit(_ATTR), F.lit(0))
 
-    def pair(a: Column) -> Column:
+    def pair(a: Column, i: Column) -> Column:
         raw = F.regexp_extract(a, _ATTR, 2)
         raw = F.when(F.rlike(raw, F.lit("^[\"']")), F.substring(raw, F.lit(2), F.char_length(raw) - 2)).otherwise(raw)
-        return F.array(_token(names, F.regexp_extract(a, _ATTR, 1)).cast(TOKEN), _value(values, raw, entities).cast(TOKEN))
+        return _let(F.regexp_extract(a, _ATTR, 1), lambda name: F.array(
+            _token(names, name, None, (tag, name, i)).cast(TOKEN), _value(values, raw, entities, (tag, name, i)).cast(TOKEN)))
 
     def done(found: Column) -> Column:
         used = F.aggregate(found, F.lit(0), lambda n, a: n + F.char_length(a))
@@ -86,19 +90,18 @@ def _tag_rest(names: str):
 
 
 def _open_tag(chunk: Column, entities, html: bool) -> Column:
-    name = F.regexp_extract(chunk, rf"^<{_WS}*({_NAME}*)", 1)
     rest = F.regexp_replace(chunk, rf"^<{_WS}*{_NAME}*", "")
     if html:  # lenient: attributes without a value have an empty one
         rest = F.regexp_replace(rest, rf"(?<={_WS})({_NAME}+)(?={_WS}*(?:/?>|{_WS}{_NAME}))(?!{_WS}*=)", "$1=\"\"")
     ok = F.rlike(rest, F.lit(rf"^(?:{_WS}|/|>)"))
-    return F.when(ok & (name != ""), F.concat(_tokens(_token("OpenTag", name)), _attributes(rest, "TagAttribName", "TagAttribValue", _tag_rest("TagAttribName"), entities))).otherwise(
-        _tokens(_error("attr", name)))
+    return _let(F.regexp_extract(chunk, rf"^<{_WS}*({_NAME}*)", 1), lambda name: F.when(ok & (name != ""), F.concat(
+        _tokens(_token("OpenTag", name)), _attributes(name, rest, "TagAttribName", "TagAttribValue", _tag_rest("TagAttribName"), entities))).otherwise(_tokens(_error("attr", name))))
 
 
 def _header(chunk: Column, entities) -> Column:
     rest = F.regexp_replace(chunk, rf"^<{_WS}*\?xml", "")
     last = lambda r: F.when(F.rlike(r, F.lit(rf"^\?{_WS}*>$")), _tokens(_token("HeaderEnd"))).otherwise(_tokens(_error("equal", F.regexp_extract(r, rf"^({_NAME}+)", 1))))
-    body = F.concat(_tokens(_token("HeaderStart", "?xml")), _attributes(rest, "HeaderAttribName", "HeaderAttribValue", last, entities))
+    body = F.concat(_tokens(_token("HeaderStart", "?xml")), _attributes(F.lit("?xml"), rest, "HeaderAttribName", "HeaderAttribValue", last, entities))
     return F.when(F.rlike(chunk, F.lit(rf"^<{_WS}*\?xml[\x01-\x20?]")), body).otherwise(_tokens(_error("xml")))
 
 
@@ -140,8 +143,12 @@ def token_array(text: Column, entities: dict[str, str] | None = None, cdata: boo
     return F.when(text.isNull(), _NONE()).otherwise(_let(_let(chunks, each), cut))
 
 
-def tokens(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """``doc_id, seq, type, value, error``: one row per token; a null text has none."""
+def tokens(df: DataFrame, id_col: str, text_col: str, wide: bool = False, **options) -> DataFrame:
+    """``doc_id, seq, type, value, error``: one row per token; a null text has none.
+
+    ``wide`` adds ``tag, name, ord``, what an attribute's tokens belong to, which spares later plans a shuffle.
+    """
     arr = token_array(F.col(text_col), **options)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.posexplode(arr).alias("seq", "t"))
-    return rows.select("doc_id", "seq", "t.type", "t.value", "t.error")
+    # outer: else Spark tests the array for being empty first, and lexes twice
+    rows = df.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(arr).alias("seq", "t")).where("t is not null")
+    return rows.select("doc_id", "seq", "t.type", "t.value", "t.error", *(["t.tag", "t.name", "t.ord"] if wide else []))

@@ -27,36 +27,54 @@ def levels(tokens: DataFrame) -> DataFrame:
 
 @dataclass
 class Relations:
-    """``elements(doc_id, eid, end_seq, region_end, level, parent_eid, name, end_type, end_value)``,
-    ``attributes(doc_id, eid, ord, seq, name, value, type)``, ``texts(doc_id, seq, owner_eid, level, value)``,
-    ``first(doc_id, seq, type, value)``: the first token of each document."""
+    """``elements(doc_id, eid, end_seq, region_end, level, name, end_type, end_value, parent_eid)``, ``spans`` (the
+    same without ``parent_eid``, for steps that need none), ``attributes(doc_id, eid, ord, seq, name, value, type)``,
+    ``texts(doc_id, seq, owner_eid, level, value)``, ``first(doc_id, seq, type, value)``: the first token of each
+    document. From wide tokens, ``attributes`` has ``tag`` and needs no shuffle, nor does
+    ``opens(doc_id, seq, type, value)``; from others ``opens`` is None."""
 
     elements: DataFrame
+    spans: DataFrame
     attributes: DataFrame
     texts: DataFrame
     first: DataFrame
+    opens: DataFrame | None
+
+
+def _attributes(tokens: DataFrame) -> DataFrame:
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    owner = F.last(F.when(F.col("type").isin("OpenTag", "HeaderStart"), F.col("seq")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    a = tokens.withColumns({"eid": owner, "name": F.lag("value").over(order)}).where(F.col("type").isin("TagAttribValue", "HeaderAttribValue"))
+    a = a.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "eid").orderBy("seq")) - 1)
+    return a.select("doc_id", "eid", "ord", "seq", "name", "value", "type")
 
 
 def relations(tokens: DataFrame) -> Relations:
-    t = levels(tokens)
+    """Parents and owners are the last open tag of the level in question, found by windows; no join is needed."""
+    wide = "tag" in tokens.columns
+    t = levels(tokens.select("doc_id", "seq", "type", "value"))
     order = Window.partitionBy("doc_id").orderBy("seq")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     opens, closes = F.col("type") == "OpenTag", F.col("type").isin("CloseTag", "CloseTagIm") & ~F.col("floor")
     tags = t.where(opens | closes).withColumn("at", F.col("level") + F.when(opens, 0).otherwise(1))
     pair = Window.partitionBy("doc_id", "at").orderBy("seq")
     e = tags.withColumns({"end_seq": F.lead("seq").over(pair), "end_type": F.lead("type").over(pair), "end_value": F.lead("value").over(pair)}).where(opens)
     e = e.select("doc_id", F.col("seq").alias("eid"), "end_seq", F.coalesce("end_seq", F.lit(END)).alias("region_end"), "level", F.col("value").alias("name"), "end_type", "end_value")
-    p = e.select("doc_id", (F.col("level") + 1).alias("level"), F.col("eid").alias("parent_eid"), F.col("region_end").alias("_end"))
-    c = e.join(p, ["doc_id", "level"], "left_outer").where(F.col("parent_eid").isNull() | ((F.col("eid") > F.col("parent_eid")) & (F.col("eid") < F.col("_end")))).drop("_end")
-    head = t.where(F.col("type").isin("HeaderStart", "HeaderEnd"))
+    head = tokens.where(F.col("type").isin("HeaderStart", "HeaderEnd"))
     head = head.withColumn("end_seq", F.lead("seq").over(order)).where("type = 'HeaderStart'")
     head = head.select("doc_id", F.col("seq").alias("eid"), "end_seq", F.coalesce("end_seq", F.lit(END)).alias("region_end"), F.lit(1).alias("level"), F.col("value").alias("name"),
-                       F.lit("HeaderEnd").alias("end_type"), F.lit("").alias("end_value"), F.lit(None).cast("int").alias("parent_eid"))
-    owner = F.last(F.when(F.col("type").isin("OpenTag", "HeaderStart"), F.col("seq")), ignorenulls=True).over(so_far)
-    a = t.withColumns({"eid": owner, "name": F.lag("value").over(order)}).where(F.col("type").isin("TagAttribValue", "HeaderAttribValue"))
-    a = a.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "eid").orderBy("seq")) - 1)
-    x = t.where("type = 'Content'").select("doc_id", "seq", "level", "value")
-    o = e.select("doc_id", "level", F.col("eid").alias("owner_eid"), F.col("region_end").alias("_end"))
-    x = x.join(o, ["doc_id", "level"], "left_outer").where(F.col("owner_eid").isNull() | ((F.col("seq") > F.col("owner_eid")) & (F.col("seq") < F.col("_end"))))
-    first = t.where("seq = 0").select("doc_id", "seq", "type", "value")
-    return Relations(c.unionByName(head), a.select("doc_id", "eid", "ord", "seq", "name", "value", "type"), x.select("doc_id", "seq", "owner_eid", "level", "value"), first)
+                       F.lit("HeaderEnd").alias("end_type"), F.lit("").alias("end_value"))
+    # each element stands at its own level as a possible parent, and one level up as a child
+    roles = e.withColumn("child", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("at", F.col("level") - F.col("child").cast("int"))
+    above = Window.partitionBy("doc_id", "at").orderBy("eid").rowsBetween(Window.unboundedPreceding, 0)
+    c = roles.withColumn("parent_eid", F.last(F.when(~F.col("child"), F.col("eid")), ignorenulls=True).over(above)).where("child").drop("child", "at")
+    elements = c.unionByName(head.withColumn("parent_eid", F.lit(None).cast("int")))
+    same = Window.partitionBy("doc_id", "level").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    x = t.where(F.col("type").isin("OpenTag", "Content")).withColumn("owner_eid", F.last(F.when(opens, F.col("seq")), ignorenulls=True).over(same)).where("type = 'Content'")
+    if wide:
+        a = tokens.where(F.col("type").isin("TagAttribValue", "HeaderAttribValue"))
+        a = a.select("doc_id", (F.col("seq") - 2 * F.col("ord") - 2).alias("eid"), "ord", "seq", "name", "value", "type", "tag")
+    else:
+        a = _attributes(tokens)
+    plain = tokens.select("doc_id", "seq", "type", "value")
+    return Relations(elements, e.unionByName(head), a, x.select("doc_id", "seq", "owner_eid", "level", "value"), plain.where("seq = 0"),
+                     plain.where(F.col("type").isin("OpenTag", "HeaderStart")) if wide else None)

@@ -34,12 +34,34 @@ def _join(ctx: DataFrame | None, step: Step, right: DataFrame, own: str, point:
     return ctx.join(right, on).drop("r_doc")
 
 
+def _narrow(rel: Relations, path: Path) -> DataFrame | None:
+    """Paths that single tokens answer (``//n``, ``//@n``, ``//n@m``): filters of the token table, no shuffle."""
+    kinds = [s.kind for s in path.steps]
+    ranged = path.low or path.high is not None
+    if rel.opens is None or not path.steps or not path.steps[0].deep or any(s.deep for s in path.steps[1:]):
+        return None
+    if kinds == ["tag"]:
+        rows = rel.opens.where(_named(path.steps[0].names, "value"))
+    elif kinds[-1] in ("attr", "has") and kinds in (["attr"], ["has"], ["tag", "attr"], ["tag", "has"]) and not (ranged and kinds[-1] == "attr"):
+        rows = rel.attributes.where(_named(path.steps[-1].names))
+        if len(kinds) == 2:
+            rows = rows.where(_named(path.steps[0].names, "tag"))
+        if path.steps[-1].value is not None:
+            rows = rows.where(F.col("value") == path.steps[-1].value)
+    else:
+        return None
+    return rows.select("doc_id", "seq", F.col("type").alias("token_type"), "value")
+
+
 def plan(rel: Relations, path: Path) -> DataFrame:
     """``doc_id, seq, token_type, value`` of one expression."""
+    narrow = _narrow(rel, path)
+    if narrow is not None:
+        return narrow
     ctx: DataFrame | None = None
     for step in path.steps:
         if step.kind == "tag":
-            right = rel.elements.where(_named(step.names))
+            right = (rel.spans if ctx is None or step.deep else rel.elements).where(_named(step.names))
             if ctx is None and not step.deep:
                 right = right.where("level = 1")
             j = _join(ctx, step, right, "parent_eid", "eid", False)
@@ -60,7 +82,7 @@ def plan(rel: Relations, path: Path) -> DataFrame:
             act = F.array_append("act", F.col("seq")) if step.kind == "has" else F.col("act")
             j = j.withColumn("act", act)
             if ctx is None or step.deep:  # the region of the element that has the attribute
-                e = rel.elements.select(F.col("doc_id").alias("e_doc"), F.col("eid").alias("e_eid"), "region_end", "end_seq", "end_type", "end_value")
+                e = rel.spans.select(F.col("doc_id").alias("e_doc"), F.col("eid").alias("e_eid"), "region_end", "end_seq", "end_type", "end_value")
                 j = j.drop("end_seq", "end_type", "end_value").join(e, (j["doc_id"] == e["e_doc"]) & (j["a_eid"] == e["e_eid"]))
             else:
                 j = j.withColumns({"region_end": F.col("c_end"), "end_seq": F.col("c_end_seq"), "end_type": F.col("c_end_type"), "end_value": F.col("c_end_value")})
@@ -75,7 +97,7 @@ def plan(rel: Relations, path: Path) -> DataFrame:
             ctx = j.select("doc_id", F.col("seq").alias("c_seq"), F.lit("Content").alias("c_type"), F.col("value").alias("c_value"), "act")
         else:
             if ctx is None:
-                ctx = rel.elements.where(F.lit(False)).select("doc_id", F.col("eid").alias("c_seq"), F.col("name").alias("c_type"), F.col("name").alias("c_value"), F.array("eid").alias("act"))
+                ctx = rel.spans.where(F.lit(False)).select("doc_id", F.col("eid").alias("c_seq"), F.col("name").alias("c_type"), F.col("name").alias("c_value"), F.array("eid").alias("act"))
             else:
                 ctx = ctx.where("c_end_seq is not null").select("doc_id", F.col("c_end_seq").alias("c_seq"), F.col("c_end_type").alias("c_type"), F.col("c_end_value").alias("c_value"), "act")
     if ctx is None:

@@ -17,7 +17,7 @@ ENTITIES = {"copy": "\u00a9", "middot": "\u00b7"}
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "html", entities=ENTITIES)
+    return tokens(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "html", wide=True, entities=ENTITIES)
 
 
 def _paths(expressions: dict[int, str], multi: bool = False):
@@ -74,7 +74,7 @@ def rt_orders_xml(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     row = printer.element("order", printer.element("price", printer.text(F.col("o_totalprice").cast("string"))), attributes={"status": F.col("o_orderstatus"), "id": F.col("o_orderkey").cast("string")})
     docs = printer.document(o, ["o_custkey"], "orders", row, ["o_orderkey"])
-    out = select(relations(tokens(docs, "o_custkey", "xml")), {1: "/orders/order[@status='F']/price()"})
+    out = select(relations(tokens(docs, "o_custkey", "xml", wide=True)), {1: "/orders/order[@status='F']/price()"})
     return out.groupBy(F.col("doc_id").alias("o_custkey")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total"))
 
 
