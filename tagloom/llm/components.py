@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _roots(edges: DataFrame) -> DataFrame:
-    """Each node with a lesser neighbour hooks to the least one; chains of hooks are cut short by doubling."""
+    """Every node of ``edges``: those with a lesser neighbour hook to the least one; chains of hooks are cut short by doubling."""
     up = stash(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "up")
     while True:
         nxt = up.select(F.col("node").alias("at"), F.col("component").alias("further"))
@@ -46,11 +46,12 @@ def _roots(edges: DataFrame) -> DataFrame:
             break
         up = jumped.drop("moved")
     up = jumped.drop("moved")
-    roots = up.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
+    # a node without a lesser neighbour stands for itself, also where no other hooks to it
+    roots = edges.select(F.col("v").alias("node")).distinct().join(up, "node", "left_anti").withColumn("component", F.col("node"))
     return stash(up.unionByName(roots), "roots")
 
 
 def _relabel(labels: DataFrame, root: DataFrame) -> DataFrame:
-    """Labels of earlier rounds follow their components' new roots; nodes seen for the first time are added."""
+    """Labels of earlier rounds follow their components' new roots; the first round has labelled every node."""
     r = root.select(F.col("node").alias("at"), F.col("component").alias("new"))
     return labels.join(r, labels["component"] == r["at"], "left").select("node", F.coalesce("new", "component").alias("component"))

@@ -271,3 +271,22 @@ def test_pipeline_stages(spark, docs, tmp_path):
     a = awkward(spark)
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, a, SF).columns == a.columns and stage(spark, a.limit(0), SF).count() == 0
+
+
+def _labels(spark, edges):
+    return {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+
+
+def test_components_keep_nodes_that_join_late(spark):
+    assert _labels(spark, [(5, 1), (5, 3)]) == {5: 1, 3: 1, 1: 1}
+    rng = random.Random(8)
+    stars = [(100 * s + 50, 100 * s + i) for s in range(20) for i in rng.sample([*range(50), *range(51, 100)], 9)]
+    assert _labels(spark, stars) == {v: min(min(e) for e in stars if e[0] // 100 == v // 100) for e in stars for v in e}
+
+
+def test_vectors_of_a_group_share_one_component(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((12, 16)), 10, axis=0) + 0.03 * rng.standard_normal((120, 16))
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.component_id, r.kept) for r in out} == {i: (i - i % 10, i % 10 == 0) for i in range(120)}
