@@ -42,13 +42,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: the rounded ratio of its taken words to its size, at most twice.
-
-    Documents of which the mix takes less than half leave, as do those without a word.
-    """
-    taken = mixing.mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    per_id = stash(taken.groupBy("_id").agg(F.max("_times").alias("_times")).where("_times > 0"), "times")
-    rows = docs.where(mixing.n_words(F.col("text")) > 0).join(per_id, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    """The mix in whole documents, each taken at most twice; a source's words meet its target. Those without a word leave."""
+    taken = mixing.whole_copies(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("copies").cast("int").alias("_times"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    rows = docs.where(mixing.n_words(F.col("text")) > 0).join(stash(taken, "times"), same)
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

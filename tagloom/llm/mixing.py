@@ -22,6 +22,8 @@ from tagloom.llm.common import n_words, stash
 from tagloom.llm.sharding import _div, feistel, sides
 
 WEIGHTS = (3, 1, 2)
+#: Documents of a source over which rounding to whole copies is carried on.
+CHUNK = 512
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction, most: int = 2) -> list[Fraction]:
@@ -78,6 +80,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: Fraction = Fraction(3, 2), seed
     bucket, an empty table gives an empty result, other columns are ignored. Equal rows that swap places change
     nothing; reruns agree.
     """
+    return _mixed(docs, weights, share, seed, id_col, text_col, source_col, blocks, shards, buckets).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mixed(docs: DataFrame, weights, share: Fraction, seed: int, id_col: str, text_col: str, source_col: str, blocks: int, shards: int, buckets: int) -> DataFrame:
+    """The rows of :func:`mix` with ``source``, ``text_hash`` and ``place``, and its source's ``full`` and ``extra``."""
     rows = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                              n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash")), "words")
     order = F.xxhash64("doc_id", "text_hash", "size", F.lit(seed))
@@ -110,9 +117,39 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: Fraction = Fraction(3, 2), seed
         return total + overlap * (F.col("full") + chosen)
 
     spans = F.sequence(_div(start, step), _div(start + size - 1, step))
-    return rows.select("doc_id", "size", "source_size", "target",
+    return rows.select("doc_id", "size", "source_size", "target", "source", "text_hash", "place", "full", "extra",
                        F.when(size == 0, F.lit(0).cast("long")).otherwise(F.aggregate(spans, F.lit(0).cast("long"), taken)).alias("taken"))
 
 
+def whole_copies(docs: DataFrame, weights=WEIGHTS, share: Fraction = Fraction(3, 2), seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
+                 source_col: str = "source", chunk: int = CHUNK) -> DataFrame:
+    """The mix in whole documents: ``doc_id, text_hash, source, copies`` of those that are taken once or twice.
+
+    Each source's documents are dealt into chunks of about ``chunk``. In a chunk, from the longest to the shortest,
+    a document is taken as often as brings the words of the whole copies nearest to the words that the mix takes,
+    so what rounding leaves over is carried on, and documents of every length are taken at their source's ratio. A
+    chunk ends about half a short document off. A source whose ratio lies between two whole numbers gets no other
+    copies than these two. Rows that agree in id, text and source are taken equally often.
+    """
+    rows = _mixed(docs, weights, share, seed, id_col, text_col, source_col, 100_000, 8, 4096).where("size > 0")
+    units = rows.groupBy("source", "doc_id", "text_hash", "place").agg(
+        F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.first("full").alias("full"), F.first("extra").alias("extra"))
+    units = stash(units, "units")
+    chunks = units.groupBy("source").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    chunks = F.broadcast(stash(chunks.withColumnRenamed("source", "chunk_source"), "chunks"))  # one row per source
+    dealt = units.join(chunks, units["source"].eqNullSafe(chunks["chunk_source"])).withColumn("no", F.pmod(F.xxhash64("place"), F.col("chunks")))
+    unit = F.struct((-F.col("size")).alias("less"), "place", "doc_id", "text_hash", "taken")
+    lists = dealt.groupBy("source", "no").agg(F.array_sort(F.collect_list(unit)).alias("units"), F.first("full").alias("full"), F.first("extra").alias("extra"))
+
+    def step(acc, u):
+        due = acc["due"] + u["taken"]
+        copies = F.least(F.greatest(F.round(due / -u["less"]).cast("long"), F.col("full")), F.col("full") + (F.col("extra") > 0).cast("long"))
+        return F.struct((due + copies * u["less"]).alias("due"), F.concat(acc["copies"], F.array(copies)).alias("copies"))
+
+    start = F.struct(F.lit(0).cast("long").alias("due"), F.array().cast("array<bigint>").alias("copies"))
+    lists = lists.select("source", F.explode(F.arrays_zip("units", F.aggregate("units", start, step)["copies"].alias("copies"))).alias("u"))
+    return lists.select("u.units.doc_id", "u.units.text_hash", "source", F.col("u.copies").alias("copies")).where("copies > 0")
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -290,3 +290,22 @@ def test_vectors_of_a_group_share_one_component(spark):
     rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
     out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert {r.vec_id: (r.component_id, r.kept) for r in out} == {i: (i - i % 10, i % 10 == 0) for i in range(120)}
+
+
+@pytest.mark.parametrize("n", [60, 3000])
+def test_mix_stage_meets_the_targets(spark, n):
+    rng = random.Random(n)
+    # source a holds most words, so its ratio is low; every ninth document is long
+    rows = [(i, "w " * (rng.randrange(2000, 4000) if i % 9 == 0 else rng.randrange(5, 200)), "abc"[max(0, i % 8 - 5)]) for i in range(n)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r.source: r.target for r in mixing._mixed(d, mixing.WEIGHTS, Fraction(3, 2), 7, "doc_id", "text", "source", 100_000, 8, 4096).select("source", "target").distinct().collect()}
+    sizes, got, long_ = Counter(), Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t) // 2
+        long_[s] += len(t) // 2 * (len(t) >= 4000)
+    for r in corpus_pipeline.mix_sources(spark, d, SF).collect():
+        got[r.source] += len(r.text) // 2
+        long_[r.source, "got"] += len(r.text) // 2 * (len(r.text) >= 4000)
+    for s in "abc":
+        assert abs(got[s] - want[s]) <= 200 + 0.002 * want[s], (s, got[s], want[s])
+        assert not long_[s] or abs(long_[s, "got"] / long_[s] - want[s] / sizes[s]) <= (0.5 if n < 100 else 0.03)
