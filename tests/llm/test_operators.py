@@ -309,3 +309,17 @@ def test_mix_stage_meets_the_targets(spark, n):
     for s in "abc":
         assert abs(got[s] - want[s]) <= 200 + 0.002 * want[s], (s, got[s], want[s])
         assert not long_[s] or abs(long_[s, "got"] / long_[s] - want[s] / sizes[s]) <= (0.5 if n < 100 else 0.03)
+
+
+def test_wrapped_paragraphs_are_banded(spark):
+    rng = random.Random(6)
+    text = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    passage = text(60)
+    edited = [*passage[:30], "other", *passage[31:]]
+    wrap = lambda w, k: "\n".join(" ".join(w[i : i + k]) for i in range(0, len(w), k))
+    # inside neighbouring short lines, and as a block that is wrapped in another way
+    rows = [(1, wrap(text(40), 20) + "\n" + wrap(passage, 30) + "\n" + wrap(text(60), 20)), (2, wrap(text(25), 25) + "\n" + wrap(edited, 30) + "\n" + wrap(text(60), 20)),
+            (3, wrap(text(45), 15) + "\n\n" + wrap(edited, 7) + "\n\n" + wrap(text(45), 15)), (4, wrap(text(200), 12))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'paragraph'").collect()
+    assert {(1, 40, 100, True), (2, 25, 85, False), (3, 45, 105, False)} <= {(r.doc_id, r.start, r.end, r.kept) for r in got}
+    assert {r.doc_id for r in got} == {1, 2, 3} and all(r.first_doc == 1 for r in got if r.end - r.start == 60)
