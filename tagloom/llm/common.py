@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,14 +20,20 @@ _runs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this session below ``spark.checkpoint.dir``, which all executors share.
+    """A folder of this session below ``spark.checkpoint.dir``, or below what ``setCheckpointDir`` has named.
 
-    Only where the cluster names none (a local session, tests) a temporary folder is used.
+    All executors share it. Only a local session, whose executors are threads of the driver, may name none: there
+    a temporary folder is used; a cluster without a shared folder is an error.
     """
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    app = context.applicationId
     if app not in _runs:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        base = context.getConf().get("spark.checkpoint.dir", None)
+        if not base and context._jsc.sc().getCheckpointDir().isDefined():
+            base = context._jsc.sc().getCheckpointDir().get()
         if not base:
+            if not re.match(r"local(\[[^-]*\])?$", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tagloom-")
         _runs[app] = f"{base.rstrip('/')}/tagloom-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _runs[app])
@@ -49,15 +56,29 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
 
 
-def drop_stash(*frames: DataFrame) -> None:
-    """Delete the files of stashed tables that no later plan reads."""
+def drop_stash(*frames: DataFrame | None) -> None:
+    """Delete the files of tables that :func:`stash` returned and that no later plan reads."""
     for df in frames:
-        for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/tagloom-" in f:
-                delete(df.sparkSession, f)
+        if df is not None and hasattr(df, "stash_path"):
+            delete(df.sparkSession, df.stash_path)
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """``owner`` is about to use what it keeps in this Python worker; other owners let go of theirs.
+
+    Workers live on from stage to stage, so that without this the tables of all operators add up.
+    """
+    for name in [n for n in _held if n != owner]:
+        _held.pop(name)()
+    _held[owner] = release
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -80,6 +101,11 @@ def each_slice(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatc
         yield batch.slice(i, rows)
 
 
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    """One number for a row by its id, which may be null, and the hash of its text."""
+    return F.xxhash64(doc_id, text_hash)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name like ``base`` that ``df`` does not have."""
     have = {c.lower() for c in df.columns}

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagloom.llm.common import each_slice as _each
-from tagloom.llm.common import stash
+from tagloom.llm.common import drop_stash, hold, stash
 
 DIM = 512
 PIECE = 1_000_000
 #: At most so many labelled texts of each language make its prototype.
 TRAIN_PER_LANG = 4000
+#: A cosine of unrelated vectors has the standard deviation 1 / sqrt(DIM); a text in a learned language is beyond so many of them.
+DEVIATIONS, SHORT = 4.0, 50
 _BMP = None
 
 
@@ -62,7 +64,7 @@ class Space:
 
     def __init__(self, dim: int = DIM, limit: int = 20_000) -> None:
         self.dim, self.limit, self.letters = dim, limit, {}
-        self.keys, self.table = np.empty(0, np.uint64), np.empty((0, dim), np.float32)
+        self.keys, self.table = np.empty(0, np.uint64), np.empty((0, dim), np.int8)
 
     def letter(self, c: int) -> np.ndarray:
         if c not in self.letters:
@@ -74,7 +76,7 @@ class Space:
 
     def bind(self, keys: np.ndarray) -> np.ndarray:
         mask = np.uint64((1 << 21) - 1)
-        out = np.ones((len(keys), self.dim), np.float32)
+        out = np.ones((len(keys), self.dim), np.int8)
         for turn, shift in ((2, 42), (1, 21), (0, 0)):
             letters, at = np.unique((keys >> np.uint64(shift)) & mask, return_inverse=True)
             out *= np.roll(np.stack([self.letter(int(c)) for c in letters]), turn, axis=1)[at]
@@ -87,30 +89,36 @@ class Space:
             if len(self.keys) + len(keys) > self.limit:
                 self.keys, self.table = self.keys[:0], self.table[:0]
             keys = keys[: self.limit]
-            at = np.searchsorted(self.keys, keys)
-            self.keys, self.table = np.insert(self.keys, at, keys), np.insert(self.table, at, self.bind(keys), axis=0)
+            for i in range(0, len(keys), 4096):
+                at = np.searchsorted(self.keys, keys[i : i + 4096])
+                self.table = np.insert(self.table, at, self.bind(keys[i : i + 4096]), axis=0)
+                self.keys = np.insert(self.keys, at, keys[i : i + 4096])
 
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = np.zeros(self.dim, np.float32)
-        for i in range(0, len(keys), self.limit):
-            k, n = keys[i : i + self.limit], counts[i : i + self.limit].astype(np.float32)
+        for i in range(0, len(keys), 4096):
+            k, n = keys[i : i + 4096], counts[i : i + 4096].astype(np.float32)
             at = np.searchsorted(self.keys, k)
             known = self.keys[np.minimum(at, len(self.keys) - 1)] == k if len(self.keys) else np.zeros(len(k), bool)
-            out += n[known] @ self.table[at[known]]
+            out += n[known] @ self.table[at[known]].astype(np.float32)
             if not known.all():
-                out += n[~known] @ self.bind(k[~known])
+                out += n[~known] @ self.bind(k[~known]).astype(np.float32)
         return out
 
     def profiles(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The texts' vectors of length one; None without a letter."""
-        out: list[np.ndarray | None] = []
+        return [v for v, _ in self.measured(texts)]
+
+    def measured(self, texts: list[str | None]) -> list[tuple[np.ndarray | None, int]]:
+        """The texts' vectors of length one and their numbers of trigrams, None and 0 without a letter."""
+        out: list[tuple[np.ndarray | None, int]] = []
         for i in range(0, len(texts), 64):
             grams = [trigrams(t or "") for t in texts[i : i + 64]]
             self.learn(np.unique(np.concatenate([k for k, _ in grams])))
             for k, n in grams:
                 v = self.bundle(k, n)
                 norm = float(np.linalg.norm(v))
-                out.append(None if not len(k) else v / norm if norm else v)
+                out.append((None if not len(k) else v / norm if norm else v, int(n.sum())))
         return out
 
 
@@ -119,7 +127,10 @@ _spaces: dict[int, Space] = {}
 
 def _space(dim: int) -> Space:
     """One space for all tasks of a Python worker."""
-    return _spaces.setdefault(dim, Space(dim))
+    hold("langid", _spaces.clear)
+    if dim not in _spaces:
+        _spaces[dim] = Space(dim)
+    return _spaces[dim]
 
 
 def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, dim: int = DIM) -> tuple[list[str], np.ndarray]:
@@ -147,13 +158,14 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, dim: int = DIM) -> tupl
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(v)], names=["lang", "i", "v"])
 
+    drop_stash(ids)
     picked = thin.join(chosen, "_h", "left_semi").select("lang", "text")
-    sums = picked.mapInArrow(run, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).toPandas()
+    sums = picked.mapInArrow(run, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).toPandas()  # languages times dim
+    drop_stash(chosen)
     names = sorted(sums["lang"].unique())
     if not names:
         return [], np.zeros((0, dim), np.float32)
     table = sums.pivot(index="lang", columns="i", values="v").reindex(index=names, columns=range(dim)).to_numpy()
-    # what all languages share says nothing about which it is
     table = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-30)
     return names, table.astype(np.float32)
 
@@ -183,6 +195,28 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, id_col: s
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def in_known_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language, all columns unchanged; each row is judged by itself.
+
+    A row stays if its best cosine is ``DEVIATIONS / sqrt(dimensions)`` or more. What is asked of a text falls with
+    its length n (in trigrams) as n / (n + ``SHORT``), as a short text in the language may hold few of its common
+    trigrams. Null, empty and letterless texts go. Where nothing was learned, all texts with a letter stay.
+    """
+    dim = prototypes.shape[1]
+
+    def run(batches):
+        space = _space(dim)
+        for batch in batches:
+            for part in _each(batch):
+                keep = []
+                for v, n in space.measured(part.column(text_col).to_pylist()):
+                    least = DEVIATIONS / dim**0.5 * n / (n + SHORT)
+                    keep.append(v is not None and (not names or float((prototypes @ v).max()) >= least))
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
