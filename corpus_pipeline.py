@@ -10,24 +10,13 @@ from pyspark.sql import functions as F
 from tagloom.llm import exact_dedup, langid, minhash, mixing, packing
 from tagloom.llm.common import fresh, keep_rows, shared_dir, stash
 
-#: Texts of at least so many letters that resemble no learned language are rejected, with all that have no letter.
-LETTERS, LEAST_SCORE = 200, 0.05
 SIMILAR = (80, 100)
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and longer ones that resemble no language of the corpus."""
+    """Drops rows without a letter, and those that resemble no language that the corpus is labelled with."""
     names, prototypes = langid.fit(docs.select("doc_id", "text", "lang"))
-    letters = F.regexp_count("text", F.lit(r"\p{L}"))
-    found = langid.predict(docs, names, prototypes).select("doc_id", "lang_pred", "score")
-    bad = stash(found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("doc_id", "lang_pred").distinct(), "rejected")
-    no_letter = F.coalesce(letters, F.lit(0)) == 0
-    if not names:
-        return docs.where(~no_letter)
-    flagged = fresh(docs, "_flagged")
-    bad = bad.where("lang_pred != 'und'").select(F.col("doc_id").alias(flagged)).distinct()
-    rows = docs.where(~no_letter).join(bad, F.col("doc_id").eqNullSafe(F.col(flagged)), "left")
-    return rows.where(F.col(flagged).isNull() | (letters < LETTERS)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return langid.in_known_language(docs, names, prototypes)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +32,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in whole documents, each taken at most twice; a source's words meet its target. Those without a word leave."""
-    taken = mixing.whole_copies(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("copies").cast("int").alias("_times"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    name = {c: fresh(docs, f"_{c}") for c in ("id", "hash", "source", "times", "copy")}
+    taken = mixing.whole_copies(docs).select(F.col("doc_id").alias(name["id"]), F.col("text_hash").alias(name["hash"]), F.col("source").alias(name["source"]),
+                                             F.col("copies").cast("int").alias(name["times"]))
+    same = (F.col("doc_id").cast("long").eqNullSafe(F.col(name["id"])) & (F.xxhash64("text") == F.col(name["hash"]))
+            & F.col("source").cast("string").eqNullSafe(F.col(name["source"])))
     rows = docs.where(mixing.n_words(F.col("text")) > 0).join(stash(taken, "times"), same)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["times"])))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
