@@ -12,6 +12,7 @@ bounded by the capacity, not by the data.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tagloom.llm.common import stash
+from tagloom.llm.common import hold, stash
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -93,8 +94,20 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return bins, runs
 
 
-#: Latin letters, then ASCII punctuation: this tokenizer parts a text between them in any case.
-_WORD_AND_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-/:-@\[-`{-~]*)")
+#: Latin letters, then ASCII punctuation: this tokenizer parts a text between them in any case. U+0130 is no such
+#: letter, as its lower case has a combining dot, which joins the marks.
+_WORD_AND_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\[-`{-~]*)")
+#: What a tokenizer must say of itself if white space is to part texts for it, and letters from marks, whatever their case.
+_NORMALISE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def parts_at_space(tokenizer: str) -> bool:
+    """Whether the ids of a text are those of its runs of other characters than white space, one after the other."""
+    with open(tokenizer, encoding="utf-8") as f:
+        said = json.load(f)
+    return ((said.get("normalizer") or {}).get("normalizers") == _NORMALISE and (said.get("pre_tokenizer") or {}).get("pretokenizers", [None])[0] == _SPLIT
+            and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in said.get("added_tokens", ())))
 
 
 class Known(dict):
@@ -105,7 +118,14 @@ class Known(dict):
     def __init__(self, tokenizer: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(tokenizer).encode
+        self.encode, self.runs = Tokenizer.from_file(tokenizer).encode, parts_at_space(tokenizer)
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, text: bytes) -> bytes:
+        """All ids of a text: by its runs where that is right for the tokenizer, else of the text as a whole."""
+        return b"".join(map(self.__getitem__, text.split())) if self.runs else self.ids(text.decode("utf-8", "replace"))
 
     def __missing__(self, run: bytes) -> bytes:
         text = run.decode("utf-8", "replace")
@@ -115,7 +135,7 @@ class Known(dict):
         elif parts and (lower := run.lower()) != run:
             ids = self[lower]
         else:
-            ids = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.ids(text)
         if len(run) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -128,6 +148,7 @@ _tables: dict[str, Known] = {}
 
 def _known(tokenizer: str) -> Known:
     """One table for all tasks of a Python worker."""
+    hold("packing", _tables.clear)
     if tokenizer not in _tables:
         _tables[tokenizer] = Known(tokenizer)
     return _tables[tokenizer]
@@ -136,8 +157,8 @@ def _known(tokenizer: str) -> Known:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of a table ``doc_id, text`` (text as binary, null: empty).
 
-    White space of ASCII parts a text for this tokenizer, which also ignores case, so ids are looked up for each
-    distinct run of other characters.
+    Where white space parts a text for the tokenizer, and it ignores case, ids are looked up for each distinct run of
+    other characters; for any other tokenizer, each text is encoded as a whole.
     """
 
     def run(batches):
@@ -145,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), ([], [], [], [], [])
             for doc, text in zip(ids, batch.column("text"), strict=True):
-                tokens = b"".join(map(known.__getitem__, (text.as_py() or b"").split())) + b"\0\0\0\0"
+                tokens = known.of(text.as_py() or b"") + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(tokens), step)):
                     part = tokens[at : at + step]
                     for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
