@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import stash
+from tagloom.llm.common import drop_stash, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,13 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not live.isEmpty():
         root = _roots(live)
-        labels = root if labels is None else stash(_relabel(labels, root), "labels")
+        old, labels = labels, root if labels is None else stash(_relabel(labels, root), "labels")
+        drop_stash(old)
         # of the edges that are left, those between different roots; distinct as they pass the shuffle
         a = live.join(root.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
         b = stash(a.select(F.coalesce("cu", "u").alias("u"), "v"), "half")
         c = b.join(root.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
         c = c.select("u", F.coalesce("cv", "v").alias("v")).where("u != v")
-        live = stash(c.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        old, live = live, stash(c.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        drop_stash(old, b, None if root is labels else root)
     if labels is None:
         return live.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return labels
@@ -42,13 +44,15 @@ def _roots(edges: DataFrame) -> DataFrame:
         nxt = up.select(F.col("node").alias("at"), F.col("component").alias("further"))
         jumped = up.join(nxt, up["component"] == nxt["at"], "left")
         jumped = stash(jumped.select("node", F.coalesce("further", "component").alias("component"), F.col("further").isNotNull().alias("moved")), "up")
-        if jumped.where("moved").isEmpty():
+        drop_stash(up)
+        up = jumped
+        if up.where("moved").isEmpty():
             break
-        up = jumped.drop("moved")
-    up = jumped.drop("moved")
     # a node without a lesser neighbour stands for itself, also where no other hooks to it
     roots = edges.select(F.col("v").alias("node")).distinct().join(up, "node", "left_anti").withColumn("component", F.col("node"))
-    return stash(up.unionByName(roots), "roots")
+    out = stash(up.select("node", "component").unionByName(roots), "roots")
+    drop_stash(up)
+    return out
 
 
 def _relabel(labels: DataFrame, root: DataFrame) -> DataFrame:
