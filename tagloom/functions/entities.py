@@ -35,7 +35,8 @@ def decode_entities(text: Column, entities: dict[str, str] | None = None) -> Col
                 .otherwise(F.try_element_at(table, name)))
 
     pieces = F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), piece)
-    joined = F.when(F.exists(pieces, lambda p: p.isNull()), F.lit(None).cast("string")).otherwise(F.array_join(pieces, ""))
+    # an array of one, so that the pieces are found once
+    joined = F.element_at(F.transform(F.array(pieces), lambda p: F.when(~F.exists(p, lambda x: x.isNull()), F.array_join(p, ""))), 1)
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 

@@ -44,6 +44,26 @@ def document(df: DataFrame, keys: list[str], root: str, row: Column, order: list
     return df.groupBy(*keys).agg(F.concat(F.lit(header(encoding) + f"<{root}>"), body, F.lit(f"</{root}>\n")).alias("xml"))
 
 
+def checked(tokens: DataFrame, sub_document: bool = False) -> DataFrame:
+    """Adds ``state`` (Init, Content, TagElement or TagAttribute after the token) and ``print_error``: why a token may not be printed where it stands.
+
+    A document begins with its header; with ``sub_document`` it is a part of one and needs none. Null means no error.
+    """
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    kind = F.col("type")
+    after = (F.when(kind == "OpenTag", "TagElement").when(kind == "TagAttribName", "TagAttribute").when(kind == "TagAttribValue", "TagElement")
+             .when(kind.isin("HeaderEnd", "Content", "CloseTag", "CloseTagIm"), "Content"))
+    begin = F.lit("Content" if sub_document else "Init")
+    t = levels(tokens).withColumn("state", F.coalesce(F.last(after, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), begin))
+    before = F.coalesce(F.lag("state").over(order), begin)
+    error = (F.when((kind == "HeaderStart") & ((F.col("seq") > 0) | F.lit(sub_document)), "printing xml header not at the beginning of the document")
+             .when(kind.isin("OpenTag", "Content") & (before == "Init"), "printed xml without root element")
+             .when((kind == "TagAttribName") & (before != "TagElement"), "attribute outside of an open tag")
+             .when((kind == "TagAttribValue") & (before != "TagAttribute"), "attribute value without a name")
+             .when(kind.isin("CloseTag", "CloseTagIm") & F.col("floor"), "close tag without an open one"))
+    return t.withColumn("print_error", error).drop("level", "floor")
+
+
 def print_tokens(tokens: DataFrame) -> DataFrame:
     """``doc_id, xml``: a token table printed. A tag that is still open gets ``>`` before what follows it."""
     t = levels(tokens)
