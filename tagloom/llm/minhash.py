@@ -13,7 +13,6 @@ the classes of other components, and leave, until every bucket is done. Nothing
 from __future__ import annotations
 
 import hashlib
-import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -21,114 +20,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import each_slice as _each
-from tagloom.llm.common import stash
+from tagloom.llm.common import WORD, drop_stash, keep_rows, row_key, stash
 from tagloom.llm.components import components
+from tagloom.llm.words import Words, band_keys, bands_for, lists, shingle_set, slices
 
-WIDTH = 5
 PIVOTS = 256
-SEED = 0x9E3779B97F4A7C15
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_S33 = np.uint64(33)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _S33)) * _M1
-    x = (x ^ (x >> _S33)) * _M2
-    return x ^ (x >> _S33)
-
-
-class _WordHashes(dict):
-    """64-bit hashes of words; emptied when it has grown to ``limit`` words."""
-
-    limit = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_words = _WordHashes()
-_factors = _mix(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(SEED)) | np.uint64(1)
-
-
-def shingles(text: bytes | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the 5-word shingles of a text in UTF-8.
+def signatures(texts: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, node, keys`` of a table ``doc_id, text_hash, text`` (text as binary).
 
-    ``bytes.lower`` and ``bytes.split`` are exactly A-Z to a-z and words ``[^\\x20\\x09-\\x0D]+``. Fewer words than
-    five are one shingle, no words give the empty set.
-    """
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    if len(h) < WIDTH:
-        return _mix((h * _factors[: len(h)]).sum(keepdims=True) + np.uint64(len(h)))
-    n = len(h) - WIDTH + 1
-    s = h[:n] * _factors[0]
-    for k in range(1, WIDTH):
-        s += h[k : k + n] * _factors[k]
-    return np.unique(_mix(s))
-
-
-def bands_for(threshold: float, miss: float = 1e-5) -> tuple[int, int]:
-    """(bands, rows): the cheapest banding that misses a pair at ``threshold`` with probability at most ``miss``.
-
-    The more rows a band has, the fewer false candidates; so the longest rows that 200 values allow.
+    ``node`` names the shingle set by 64 bits of its digest, null without shingles.
     """
-    for rows in range(8, 0, -1):
-        bands = int(np.ceil(np.log(miss) / np.log1p(-(threshold**rows))))
-        if bands * rows <= 160:
-            return bands + bands * rows % 2, rows
-    return 80, 1
-
-
-def band_keys(sets: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Bucket keys of one set: values 2i and 2i+1 are minimum and maximum under permutation i."""
-    perms = -(-bands * rows // 2)
-    salts = _mix(np.arange(1, perms + 1, dtype=np.uint64) * _M2)[:, None]
-    low, high = np.full(perms, np.iinfo(np.uint64).max, np.uint64), np.zeros(perms, np.uint64)
-    for i in range(0, len(sets), 2048):
-        p = (sets[None, i : i + 2048] ^ salts) * (salts | np.uint64(1))
-        p ^= p >> np.uint64(32)
-        np.minimum(low, p.min(axis=1), out=low)
-        np.maximum(high, p.max(axis=1), out=high)
-    values = np.stack([low, high], axis=1).reshape(-1)
-    values = values[: bands * rows].reshape(bands, rows)
-    mult = _mix(np.arange(1, rows + 1, dtype=np.uint64) * _M1) | np.uint64(1)
-    return _mix((_mix(values) * mult).sum(axis=1) + np.arange(bands, dtype=np.uint64) * np.uint64(SEED))
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-    return pa.ListArray.from_arrays(offsets, np.concatenate([*arrays, np.empty(0, np.uint64)]).view(np.int64))
-
-
-def signatures(texts: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, set_hash, keys`` of a table ``doc_id, text`` (text as binary)."""
 
     def run(batches):
-        for batch in itertools.chain.from_iterable(map(_each, batches)):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                _lists([band_keys(s, bands, rows) if len(s) else s for s in sets])], names=["doc_id", "n_shingles", "set_hash", "keys"])
-
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"))
+                h, first = words.hashes, words.first
+                sets = [shingle_set(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                full = np.flatnonzero([len(s) > 0 for s in sets])
+                ends = np.cumsum([len(sets[i]) for i in full], dtype=np.int64)
+                spans = np.stack([np.concatenate([[0], ends[:-1]]), ends], axis=1) if len(full) else np.empty((0, 2), np.int64)
+                keys = band_keys(np.concatenate([np.empty(0, np.uint64), *sets]), spans, bands, rows)
+                of, found = dict(zip(full, range(len(full)), strict=True)), np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets], pa.int64()),
+                    lists([keys[of[i]] if i in of else found for i in range(len(sets))])], names=["doc_id", "text_hash", "n_shingles", "node", "keys"])
+
+    return texts.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, keys array<long>")
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
-    """``node, items`` of a table ``node, text`` (text as binary): the whole shingle set, sorted as signed."""
+    """``node, items`` of a table ``node, text`` (text as binary): the whole shingle set."""
 
     def run(batches):
-        for batch in itertools.chain.from_iterable(map(_each, batches)):
-            sets = [np.sort(shingles(t).view(np.int64)).view(np.uint64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], names=["node", "items"])
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"))
+                sets = [shingle_set(words.hashes[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists(sets)], names=["node", "items"])
 
     node = texts.schema["node"].dataType
     return texts.select("node", "text").mapInArrow(run, T.StructType([T.StructField("node", node), T.StructField("items", T.ArrayType(T.LongType()))]))
@@ -154,22 +86,34 @@ def confirm(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
 def linked_components(members: DataFrame, sets_of, num: int, den: int) -> DataFrame:
     """Components of the classes with Jaccard similarity num/den or more that share a bucket: ``node, component``.
 
-    ``members``: ``bucket, node, n`` (set size); ``sets_of(nodes)`` gives ``node, items`` for a table of nodes.
-    Only linked nodes are returned.
+    ``members``: ``bucket, node, n`` (set size, or 0 for all); ``sets_of(nodes)`` gives ``node, items`` for a table of nodes.
+    Only linked nodes are returned. If ``members`` has ``low, high``, the range of the owners of a node, buckets
+    that only one owner has are passed over.
     """
     may = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)
-    shared = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p")).where("c > 1").select("bucket", "p")
-    rest = stash(members.join(stash(shared, "shared"), "bucket").where("node != p.node"), "members")
-    pairs = rest.where(may(F.col("n"), F.col("p.n"))).select(F.col("node").alias("u"), F.col("p.node").alias("v")).distinct()
+    # plain numbers as aggregates, so that Spark hashes and combines before the shuffle
+    low, high = ("low", "high") if "low" in members.columns else ("node", "node")
+    shared = members.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("last"), F.min_by("n", "node").alias("pn"), F.min(low).alias("a"), F.max(high).alias("b"))
+    shared = stash(shared.where("p != last and a != b").select("bucket", "p", "pn"), "shared")
+    rest = stash(members.select("bucket", "node", "n").join(shared, "bucket").where("node != p"), "members")
+    pairs = rest.where(may(F.col("n"), F.col("pn"))).select(F.col("node").alias("u"), F.col("p").alias("v")).distinct()
     pairs = stash(pairs, "pairs")
-    sets = stash(sets_of(stash(rest.select("node").union(rest.select("p.node")).distinct(), "nodes")), "sets")
-    found = components(stash(confirm(pairs, sets, at_least(num, den)), "links"))
+    nodes = stash(rest.select("node").union(rest.select("p")).distinct(), "nodes")
+    sets = stash(sets_of(nodes), "sets")
+    links = stash(confirm(pairs, sets, at_least(num, den)), "links")
+    found = components(links)
+    drop_stash(shared, pairs, nodes, links)
     named = rest.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
     open_ = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
-    nodes = stash(rest.select("bucket", "node").join(stash(open_, "open"), "bucket", "left_semi").select("node").distinct(), "nodes")
+    open_ = stash(open_, "open")
+    nodes = stash(rest.select("bucket", "node").join(open_, "bucket", "left_semi").select("node").distinct(), "nodes")
+    drop_stash(rest, open_)
     if nodes.isEmpty():
+        drop_stash(sets, nodes)
         return found
-    return _by_prefix(stash(sets.join(nodes, "node", "left_semi"), "sets"), found, num, den)
+    left = stash(sets.join(nodes, "node", "left_semi"), "sets")
+    drop_stash(sets, nodes)
+    return _by_prefix(left, found, num, den)
 
 
 def _by_prefix(sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
@@ -192,12 +136,14 @@ def _by_prefix(sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFra
     short = F.col("n") - overlap(F.col("n"), F.col("n"))
     checked, others_only = None, True
     while True:
+        dead = rest
         named = stash(rest.join(found, "node", "left").select("bucket", "node", "n", "pos", F.coalesce("component", "node").alias("comp")), "named")
         largest = named.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.min("n").alias("m")).groupBy("bucket").agg(
             F.max(F.struct("c", "comp")).alias("big"), F.min("m").alias("least"), F.count("*").alias("k")).where("k > 1")
         # a member that stands too far back in its order for even the smallest partner can go
         rest = named.join(stash(largest.select("bucket", F.col("big.comp").alias("big"), "least"), "open"), "bucket")
         rest = stash(rest.where(F.col("n") - F.col("pos") >= overlap(F.col("n"), F.col("least"))).drop("least"), "members")
+        drop_stash(dead, named)
         slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")
         eligible = (F.col("pos") <= short) & ((F.col("comp") != F.col("big")) if others_only else F.lit(True))
         pivots = rest.where(eligible).groupBy("bucket", slot).agg(F.min(F.struct("node", "n", "comp", "pos")).alias("p"))
@@ -230,27 +176,53 @@ def near_dups(docs: DataFrame, num: int = 85, den: int = 100, id_col: str = "doc
     ``component_id`` is the smallest id reachable, ``kept`` whether that is the row's own.
 
     Null and wordless texts have no shingles and link with nothing, so they are kept. Repeated rows are copies
-    of each other, and all of them carry the same ``kept``. A null id is never a component's name while another
-    member has one; a component without any id has the name null. Ids are expected to be unique; of rows that
-    share an id but not a text, one text stands for the id. Empty tables give empty results, other columns are
-    ignored.
+    of each other, and all of them carry the same ``kept``. Rows with a null id are compared like all others; a null
+    id is never a component's name while another member has one, and a component without any id has the name null, so
+    all its members are kept. Rows that share an id but not a text are documents of their own. Empty tables give empty
+    results, other columns are ignored.
     """
-    bands, rows = bands_for(num / den)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return _near(docs, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _near(docs: DataFrame, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of :func:`near_dups` with ``text_hash`` and ``first``: the hash of the text of the member that stays."""
+    bands, rows = bands_for(num / den, values=100)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     signed = stash(signatures(texts, bands, rows), "signatures")
-    reps = stash(signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
-                 .select("set_hash", F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"), F.col("r.keys").alias("keys")), "classes")
-    unique = signed.groupBy("doc_id").count().where("count > 1").isEmpty()
+    key = row_key(F.col("doc_id"), F.col("text_hash"))
+    # any one row stands for its set, as rows of a set differ in nothing that is compared
+    places = signed.where("node is not null").groupBy("node").agg(F.min(key).alias("place"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        out = full_sets(texts.join(nodes, texts["doc_id"] == nodes["node"]))
-        return out if unique else out.groupBy("node").agg(F.min("items").alias("items"))
+        at = places.join(nodes, "node", "left_semi")
+        keyed = texts.withColumn("place", key)
+        return full_sets(keyed.join(at, "place")).dropDuplicates(["node"]) if repeated else full_sets(keyed.join(at, "place"))
 
-    members = reps.select(F.explode("keys").alias("bucket"), "node", "n")
+    repeated = not signed.groupBy(key).count().where("count > 1").isEmpty()
+    members = signed.where("node is not null").dropDuplicates(["node"]).select(F.explode("keys").alias("bucket"), "node", F.col("n_shingles").alias("n"))
     found = linked_components(members, sets_of, num, den)
-    named = stash(reps.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component")), "classes")
-    out = signed.drop("keys").join(named, "set_hash", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = signed.drop("keys").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = stash(named, "named")
+    drop_stash(signed)
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")
+    first = named.where("component is not null").groupBy("component").agg(least, F.min("text_hash").alias("nameless"))
+    first = stash(first.select("component", F.col("least.doc_id").alias("least"), F.coalesce("least.text_hash", "nameless").alias("first")), "least")
+    out = named.join(first, "component", "left")
+    out = out.withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))).withColumn("first", F.coalesce("first", "text_hash"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash", "n_shingles", "component_id", "kept", "first")
+
+
+def drop_near_copies(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, all columns unchanged; wordless texts all stay.
+
+    The row with the least id stays; of a group without any id, the one with the least hash of its text.
+    """
+    decided = _near(docs, num, den, id_col, text_col)
+    one = decided.where((F.col("n_shingles") > 0) & F.col("kept") & (F.col("text_hash") == F.col("first"))).select("doc_id", "text_hash")
+    keys = {"doc_id": F.col(id_col).cast("long"), "text_hash": F.xxhash64(text_col)}
+    wordless = ~F.coalesce(F.rlike(text_col, F.lit(WORD)), F.lit(False))
+    alone = docs.where(wordless)
+    return keep_rows(docs.where(~wordless), keys, stash(one, "kept")).unionByName(alone)
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
