@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from urllib.parse import urlsplit
@@ -23,14 +24,21 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import shared_dir, stash
+from tagloom.llm.common import parallelism, shared_dir, stash
 
 LEAST_REVISIT = 1000
 BLOCK = 1000
+#: About so many captures are one task's when all are read.
+CAPTURES = 20_000
 ARCHIVE_BYTES = 256 << 20
 ENTRY = "surt string, page_id long, archive string, offset long, length long"
 
 
+def filesystem(folder: str):
+    """(file system, path) of a folder as Spark names it; Spark's names of S3 are pyarrow's ``s3``."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
+
+
 def surt(url: str | None) -> str:
     """Key with the host reversed: ``http://www.example.com:80/a?b`` gives ``com,example,www:80)/a?b``."""
     if not url:
@@ -87,7 +95,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     """Writes ``page_id, url, payload, sha1, refers_to`` rows as archives; one index entry per record."""
 
     def run(batches):
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         out, name, at = None, "", 0
         for batch in batches:
@@ -118,7 +126,7 @@ def write_index(entries: DataFrame, folder: str, block: int = BLOCK) -> DataFram
     """
 
     def run(batches):
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         out, name, at, lines, directory = None, f"{uuid.uuid4().hex}.cdx.gz", 0, [], []
 
@@ -153,15 +161,44 @@ def _range(fs, path: str, offset: int, length: int) -> bytes:
         return f.read_at(length, offset)
 
 
+class Directory:
+    """The sparse directory for look-ups: loaded once, one row for each block of ``BLOCK`` captures, and searched by bisection.
+
+    A directory of more than ``most`` blocks stays a table, and Spark finds the blocks by the ranges of its sorted files.
+    """
+
+    def __init__(self, table: DataFrame, folder: str, most: int = 1_000_000) -> None:
+        self.folder, self.table, self.blocks = folder, table, None
+        if table.count() <= most:
+            self.blocks = sorted(table.collect(), key=lambda b: (b["first_key"], b["last_key"]))
+            self.last = [b["last_key"] for b in self.blocks]
+
+    def find(self, key: str):
+        """The blocks that may hold ``key``, in order. Both ends of blocks rise, as the captures are sorted."""
+        if self.blocks is None:
+            yield from self.table.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "last_key").toLocalIterator()
+            return
+        i = bisect.bisect_left(self.last, key)
+        while i < len(self.blocks) and self.blocks[i]["first_key"] <= key:
+            yield self.blocks[i]
+            i += 1
+
+    def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
+        """All records of a URL: blocks by bisection of the directory, captures by bisection of a block, then ranges of archives."""
+        key, found = surt(url), []
+        fs, base = filesystem(self.folder)
+        for b in self.find(key):
+            lines = [json.loads(x) for x in zlib.decompress(_range(fs, f"{base}/{b['file']}", b["offset"], b["length"]), 31).splitlines()]
+            here = lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]
+            for name in dict.fromkeys(line[2] for line in here):
+                with fs.open_input_file(f"{base}/{name}") as f:
+                    found += [parse(zlib.decompress(f.read_at(line[4], line[3]), 31)) for line in here if line[2] == name]
+        return found
+
+
 def lookup(directory: DataFrame, folder: str, url: str) -> list[tuple[dict[str, str], bytes]]:
-    """All records of a URL: directory, block, then ranges of archives."""
-    key, found = surt(url), []
-    fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-    for b in directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "last_key").toLocalIterator():
-        lines = [json.loads(x) for x in zlib.decompress(_range(fs, f"{base}/{b['file']}", b["offset"], b["length"]), 31).splitlines()]
-        for line in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]:
-            found.append(parse(zlib.decompress(_range(fs, f"{base}/{line[2]}", line[3], line[4]), 31)))
-    return found
+    """All records of one URL; for many, make a :class:`Directory` once."""
+    return Directory(directory, folder).lookup(url)
 
 
 def read_all(directory: DataFrame, folder: str) -> DataFrame:
@@ -172,7 +209,7 @@ def read_all(directory: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches):
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         for batch in batches:
             for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
                 lines = [json.loads(x) for x in zlib.decompress(_range(fs, f"{base}/{file}", offset, length), 31).splitlines()]
@@ -193,7 +230,10 @@ def read_all(directory: DataFrame, folder: str) -> DataFrame:
                     pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)],
                     names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    spread = directory.select("file", "offset", "length").repartition(F.col("file"), F.col("offset"))
+    # a row stands for many captures, so the number of tasks comes from these, not from the rows' bytes
+    captures = directory.agg(F.sum("captures")).collect()[0][0] or 0
+    parts = max(1, min(directory.count(), max(parallelism(directory.sparkSession), captures // CAPTURES)))
+    spread = directory.select("file", "offset", "length").repartition(parts, F.col("file"), F.col("offset"))
     return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
