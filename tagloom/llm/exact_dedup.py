@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import keep_rows, stash, without_space
+from tagloom.llm.common import fresh, keep_rows, stash, without_space
 
 PREFIX = 256
 
@@ -46,8 +46,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _resolve(hashed.unionByName(alone), hashed)
 
 
-def _resolve(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Counts per digest go back to the rows through a written table, so that a hot digest can be split."""
+def _resolve(rows: DataFrame, groups: DataFrame, *more: str) -> DataFrame:
+    """The result with ``more`` columns of ``rows``. Counts per digest go back to the rows through a written table, so that a hot digest can be split."""
     best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("rev"))).alias("best")
     per = groups.groupBy("text_sha256").agg(best, F.count("*").alias("n")).where("n > 1")
     per = stash(per.select(F.col("text_sha256").alias("sha"), F.bitwise_not("best.rev").alias("first_id"), F.col("best.points").alias("most"), "n"), "groups")
@@ -57,16 +57,37 @@ def _resolve(rows: DataFrame, groups: DataFrame) -> DataFrame:
         F.when(grouped, F.col("first_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.when(grouped, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("points") == F.col("most"))).otherwise(F.lit(True)).alias("kept"),
-        "text_sha256",
+        "text_sha256", *more,
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=without_space) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns unchanged."""
-    decided = exact_dedup(docs, id_col, text_col, normalise, digest_all=True)
-    kept = stash(decided.where("kept").select("doc_id", "text_sha256"), "kept")
-    keys = {"doc_id": F.col(id_col).cast("long"), "text_sha256": F.sha2(normalise(F.col(text_col)).cast("binary"), 256)}
-    return keep_rows(docs, keys, kept)
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=without_space, prefix: int = PREFIX) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, all columns unchanged.
+
+    Only texts whose length and prefix hash have another member are hashed as a whole. Rows are known again by id, length
+    and prefix hash; the few that agree in these and still differ in what becomes of them (repeated ids) by their digest.
+    """
+    norm = normalise(F.col(text_col))
+    key = {"doc_id": F.col(id_col).cast("long"), "len": F.char_length(norm).cast("long"), "pre": F.xxhash64(F.substring(norm, 1, prefix))}
+    narrow = stash(docs.select(*[v.alias(k) for k, v in key.items()]), "narrow")
+    shared = stash(narrow.groupBy("len", "pre").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
+    points = F.coalesce(F.char_length(text_col), F.lit(0)).cast("long").alias("points")
+    texts = docs.select(*[v.alias(k) for k, v in key.items()], points, norm.alias("norm")).join(shared, ["len", "pre"], "left_semi")
+    hashed = stash(texts.select("doc_id", "len", "pre", "points", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "hashed")
+    decided = _resolve(hashed, hashed, "len", "pre").groupBy("doc_id", "len", "pre").agg(F.count("*").alias("n"), F.count_if("kept").alias("k"))
+    decided = stash(decided.where("not (n = 1 and k = 1)"), "decided")  # single rows of other keys stay
+    names = {k: fresh(docs, f"_{k}") for k in (*key, "n", "k")}
+    rows, gone = docs.withColumns({names[k]: v for k, v in key.items()}), decided.select(*[F.col(k).alias(f"{v}_r") for k, v in names.items()])
+    same = F.lit(True)
+    for k in key:
+        same = same & rows[names[k]].eqNullSafe(gone[f"{names[k]}_r"])
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    stay = rows.join(gone, same, "left_anti").select(*out)
+    if decided.where("k > 0").isEmpty():
+        return stay
+    mixed = rows.join(gone.where(F.col(f"{names['k']}_r") > 0), same, "left_semi").select(*out)
+    kept = stash(_resolve(hashed, hashed).where("kept").select("doc_id", "text_sha256"), "kept")
+    return stay.unionByName(keep_rows(mixed, {"doc_id": key["doc_id"], "text_sha256": F.sha2(norm.cast("binary"), 256)}, kept))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
