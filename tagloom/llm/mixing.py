@@ -12,6 +12,7 @@ The driver holds one row per source (name, words), never rows of documents.
 from __future__ import annotations
 
 import heapq
+import itertools
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from tagloom.llm.sharding import _div, feistel, sides
 WEIGHTS = (3, 1, 2)
 #: Documents of a source over which rounding to whole copies is carried on.
 CHUNK = 512
+#: Sources up to which their plan is broadcast; the driver holds one row of each in any case.
+BROADCAST = 10_000
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction, most: int = 2) -> list[Fraction]:
@@ -71,7 +74,10 @@ def quotas(sizes: list[int], weights: list[int], share: Fraction, blocks: int, s
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: Fraction = Fraction(3, 2), seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", blocks: int = 100_000, shards: int = 8, buckets: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``.
+    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken, shard_words``.
+
+    ``shard_words`` has, for each of ``shards`` shards, how many of the taken words are its: a source's draws, in seeded
+    order, go to the shards by their integer quotas of it.
 
     ``size`` is the number of words (null text: 0), ``taken`` how many of them the mix takes, repeats counted,
     never more than twice ``size``. Sources are ranked by code point, null last, and null is a source of its own.
@@ -80,7 +86,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: Fraction = Fraction(3, 2), seed
     bucket, an empty table gives an empty result, other columns are ignored. Equal rows that swap places change
     nothing; reruns agree.
     """
-    return _mixed(docs, weights, share, seed, id_col, text_col, source_col, blocks, shards, buckets).select("doc_id", "size", "source_size", "target", "taken")
+    return _mixed(docs, weights, share, seed, id_col, text_col, source_col, blocks, shards, buckets).select("doc_id", "size", "source_size", "target", "taken", "shard_words")
 
 
 def _mixed(docs: DataFrame, weights, share: Fraction, seed: int, id_col: str, text_col: str, source_col: str, blocks: int, shards: int, buckets: int) -> DataFrame:
@@ -98,27 +104,38 @@ def _mixed(docs: DataFrame, weights, share: Fraction, seed: int, id_col: str, te
     for i, (name, words) in enumerate(sources):
         quota, n = sum(s[i] for s in shares), -(-words // length)
         a, b = sides(n)
-        plan.append((name, words, float(want[i]), n, a, b, quota // n if n else 0, quota % n if n else 0))
+        ends = list(itertools.accumulate(s[i] for s in shares))
+        plan.append((name, words, float(want[i]), n, a, b, quota // n if n else 0, quota % n if n else 0, ends))
     spark = docs.sparkSession
-    plan = spark.createDataFrame(plan, "source string, source_size long, target double, n long, a long, b long, full long, extra long")
+    plan = spark.createDataFrame(plan, "source string, source_size long, target double, n long, a long, b long, full long, extra long, ends array<long>")
     before = per_bucket.select(F.col("source").alias("bucket_source"), F.col("bucket").alias("bucket_no"),
                                (F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("before"))
     before = stash(before, "before")
     inner = Window.partitionBy("source", "bucket").orderBy("place", F.col("doc_id").asc_nulls_last(), "text_hash", "size")
     rows = rows.withColumn("within", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = rows.join(before, rows["source"].eqNullSafe(before["bucket_source"]) & (rows["bucket"] == before["bucket_no"]))
-    plan = F.broadcast(plan.withColumnRenamed("source", "plan_source"))  # one row per source
+    plan = plan.withColumnRenamed("source", "plan_source")
+    plan = F.broadcast(plan) if len(sources) <= BROADCAST else plan  # one row per source
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"])).withColumn("start", F.col("before") + F.col("within"))
     size, start, step = F.col("size"), F.col("start"), F.lit(length).cast("long")
 
-    def taken(total, block):
-        chosen = F.when(F.col("extra") == 0, F.lit(0)).otherwise((feistel(block, F.col("n"), F.col("a"), F.col("b"), seed) < F.col("extra")).cast("long"))
+    def drawn(block):
+        """What is drawn of a block: an array of (words, shard), one for each time. Draw number c * n + rank is copy c."""
         overlap = F.least(start + size, (block + 1) * step) - F.greatest(start, block * step)
-        return total + overlap * (F.col("full") + chosen)
 
-    spans = F.sequence(_div(start, step), _div(start + size - 1, step))
-    return rows.select("doc_id", "size", "source_size", "target", "source", "text_hash", "place", "full", "extra",
-                       F.when(size == 0, F.lit(0).cast("long")).otherwise(F.aggregate(spans, F.lit(0).cast("long"), taken)).alias("taken"))
+        def copies(rank):
+            times = F.col("full") + (rank < F.col("extra")).cast("long")
+            return F.transform(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<bigint>")), lambda c: F.struct(
+                overlap.alias("words"), F.size(F.filter("ends", lambda e: e <= c * F.col("n") + rank)).alias("shard")))
+
+        rank = F.when(F.col("n") > 0, feistel(block, F.col("n"), F.col("a"), F.col("b"), seed))
+        return F.element_at(F.transform(F.array(rank), copies), 1)
+
+    spans = F.when(size > 0, F.sequence(_div(start, step), _div(start + size - 1, step))).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.withColumn("drawn", F.flatten(F.transform(spans, drawn)))
+    total = lambda found: F.aggregate(found, F.lit(0).cast("long"), lambda s, d: s + d["words"])
+    by_shard = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: total(F.filter("drawn", lambda d: d["shard"] == k)))
+    return rows.select("doc_id", "size", "source_size", "target", "source", "text_hash", "place", "full", "extra", total(F.col("drawn")).alias("taken"), by_shard.alias("shard_words"))
 
 
 def whole_copies(docs: DataFrame, weights=WEIGHTS, share: Fraction = Fraction(3, 2), seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
