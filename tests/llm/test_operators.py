@@ -126,6 +126,19 @@ def _jaccard_components(sets, num, den):
     return {i: find(i) for i in sets}
 
 
+def _components_of(links):
+    """The least node that each node reaches."""
+    out = {}
+    for start in sorted(links):
+        todo = [] if start in out else [start]
+        while todo:
+            i = todo.pop()
+            if i not in out:
+                out[i] = start
+                todo += links[i]
+    return out
+
+
 def _edited(rng, words, k):
     w = list(words)
     for _ in range(k):
@@ -151,7 +164,8 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {v: r for v, r in root.items() if v in got} and all(root[v] == v and all(a == b == v for a, b in edges if v in (a, b)) for v in root if v not in got)
+    loops = {v for v in root if all(a == b for a, b in edges if v in (a, b))}
+    assert got == {v: r for v, r in root.items() if v not in loops}
 
 
 def test_language_accuracy(spark, docs):
@@ -231,7 +245,8 @@ def test_vectors_by_brute_force(spark):
     found, there = sum(out[i].n_links for i in range(len(x))), linked.sum()
     assert 0.98 * there <= found <= there and all(out[i].n_links <= linked[i].sum() for i in range(len(x)))
     assert all(out[i].n_links == 0 and out[i].kept for i in range(900, 907))
-    assert all(out[i].component_id == out[i % 120].component_id for i in range(160, 190))
+    want = _components_of({i: [int(j) for j in np.flatnonzero(linked[i])] for i in range(len(x))})
+    assert {i: (out[i].component_id, out[i].kept) for i in want} == {i: (c, i == c) for i, c in want.items()}
 
 
 def test_repeated_passages_by_brute_force(spark):
@@ -248,10 +263,14 @@ def test_repeated_passages_by_brute_force(spark):
     rows += [(20 + i, "\n".join([" ".join(text(60)), _edited(rng, para, i % 3 and 1), " ".join(text(60))])) for i in range(4)]
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in got} == {0, 1, 2, 3, 4, 5, 20, 21, 22, 23}
-    assert all(100 <= r.start and r.end <= 151 and r.first_doc == 0 for r in got if r.doc_id < 6)
+    assert all(100 <= r.start and r.end <= 151 and r.end - r.start >= passages.WINDOW for r in got if r.doc_id < 6)
+    assert all(r.kept for r in got if r.doc_id == 0) and {r.doc_id for r in got if r.first_doc == 0 and not r.kept} == {1, 2, 3, 4, 5}
     assert {r.doc_id for r in got if r.kind == "paragraph" and r.kept} == {20}
     d = awkward(spark)
-    assert {r.doc_id for r in passages.repeated_passages(d).collect()} == {4, 5} and passages.repeated_passages(d.limit(0)).count() == 0
+    assert {r.doc_id for r in passages.repeated_passages(d).collect()} == {4, 5}
+    nameless = spark.createDataFrame([(None, " ".join(passage)), (None, " ".join([*passage, "x"])), (7, "a"), (None, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.first_doc) for r in passages.repeated_passages(nameless).collect()} == {(None, None)}
+    assert passages.repeated_passages(d.limit(0)).count() == 0
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
