@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import exact_dedup, langid, minhash, mixing, packing
-from tagloom.llm.common import fresh, keep_rows, shared_dir, stash
+from tagloom.llm.common import fresh, shared_dir, stash
 
 SIMILAR = (80, 100)
 
@@ -26,8 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    kept = minhash.near_dups(docs, *SIMILAR).where("kept").select("doc_id")
-    return keep_rows(docs, {"doc_id": F.col("doc_id").cast("long")}, stash(kept.distinct(), "kept"), once=False)
+    return minhash.drop_near_copies(docs, *SIMILAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
