@@ -9,6 +9,7 @@ lane, which finds the first error and its kind. The first error ends a document'
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -225,6 +226,29 @@ def token_chunks(text: Column, entities: dict[str, str] | None = None, cdata: bo
     return F.when(text.isNull(), none).otherwise(F.coalesce(found, exact))
 
 
+_built: dict = {}
+
+
+def built(key: tuple, make):
+    """The expression ``make()``, made once for each ``key`` and driver: it has thousands of parts, each a call to the JVM."""
+    context = SparkContext._active_spark_context
+    if _built.get("context") is not context:
+        _built.clear()
+        _built["context"] = context
+    if key not in _built:
+        _built[key] = make()
+    return _built[key]
+
+
+def frozen(options: dict) -> tuple:
+    return tuple(sorted((k, tuple(sorted(v.items())) if isinstance(v, dict) else v) for k, v in options.items()))
+
+
+def chunks_of(text_col: str, options: dict) -> Column:
+    """:func:`token_chunks` of a column, built once."""
+    return built((text_col, frozen(options)), lambda: token_chunks(F.col(text_col), **options))
+
+
 def token_array(text: Column, **options) -> Column:
     """All tokens of a text as one array column; options as for :func:`tokens`."""
     return F.flatten(token_chunks(text, **options))
@@ -238,7 +262,7 @@ def tokens(df: DataFrame, id_col: str, text_col: str, wide: bool = False, **opti
     a value, ``strip_bom`` passes over a byte order mark. ``values`` names the kinds (of :data:`MASKABLE`) whose values
     are wanted: those of others are null and not built, except that a text with an error has all of them.
     """
-    arr = token_array(F.col(text_col), **options)
+    arr = F.flatten(chunks_of(text_col, options))
     # outer: else Spark tests the array for being empty first, and lexes twice
     rows = df.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(arr).alias("seq", "t")).where("t is not null")
     return rows.select("doc_id", "seq", "t.type", "t.value", "t.error", *(["t.tag", "t.name", "t.ord"] if wide else []))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tagloom.operators.lexer import token_chunks
+from tagloom.operators.lexer import chunks_of
 from tagloom.plans.pathexpr import Path, Step, parse
 
 ACT = "struct<ord:int,ids:array<int>>"
@@ -116,7 +116,7 @@ class Fold:
                 return _acts()
             if n.step.kind == "tag":
                 acts = self._of(above["follow"] if n.step.deep else above["own"], n.parent)
-                grown = F.transform(acts, lambda a: F.struct(F.lit(-1).alias("ord"), F.array_append(a["ids"], seq.cast("int")).alias("ids")).cast(ACT))
+                grown = F.transform(acts, lambda a: F.struct(F.lit(-1).alias("ord"), F.array_append(a["ids"], seq).alias("ids")))
                 return F.when(_named(n.step.names, name), grown).otherwise(_acts())
             if n.parent == 0 and not n.step.deep:
                 return _acts()
@@ -126,7 +126,7 @@ class Fold:
             fit = F.filter(attrs, lambda t: _fits(n.step, t))
             found = F.flatten(F.transform(acts, lambda a: F.transform(
                 fit if n.step.deep else F.filter(fit, lambda t: t["ord"] > a["ord"]),
-                lambda t: F.struct(t["ord"].alias("ord"), F.array_append(a["ids"], (seq + 2 * t["ord"] + 2).cast("int")).alias("ids")).cast(ACT))))
+                lambda t: F.struct(t["ord"].alias("ord"), F.array_append(a["ids"], seq + 2 * t["ord"] + 2).alias("ids")))))
             return F.when(F.size(attrs) > 0, found).otherwise(_acts())
 
         tags = [n for n in self.nodes if n.number in self.slot]
@@ -141,8 +141,8 @@ class Fold:
         def build(i: int, own: Column | None) -> Column:
             if i == len(stages):
                 follow = F.zip_with(above["follow"], own, lambda f, o: F.when(F.size(o) > 0, F.concat(f, o)).otherwise(f))
-                return F.struct(own.alias("own"), follow.alias("follow")).cast(self.state)
-            more = F.array(*[node(n, own) for n in stages[i]]).cast(f"array<array<{ACT}>>")
+                return F.struct(own.alias("own"), follow.alias("follow"))  # no casts from here on: they would copy what a document has open, tag by tag
+            more = F.array(*[node(n, own) for n in stages[i]])
             return _let(more if own is None else F.concat(own, more), lambda o: build(i + 1, o))
 
         return build(0, None)
@@ -194,7 +194,7 @@ class Fold:
                 attrs = lambda: F.filter(c, lambda t: t["type"].isin("TagAttribValue", "HeaderAttribValue"))
 
                 def done(stack: Column, out: Column) -> Column:
-                    return F.struct((seq + F.size(c)).alias("seq"), stack.alias("stack"), F.concat(st["out"], out).alias("out")).cast(inner_type)
+                    return F.struct((seq + F.size(c)).alias("seq"), stack.alias("stack"), F.concat(st["out"], out).alias("out"))
 
                 def opened(a: Column) -> Column:
                     def with_element(e: Column) -> Column:
@@ -214,9 +214,9 @@ class Fold:
             return _let(F.element_at(c, 1), on)
 
         def block(st: Column, b: Column) -> Column:
-            begin = F.struct(st["seq"].alias("seq"), st["stack"].alias("stack"), _outs().alias("out")).cast(inner_type)
+            begin = F.struct(st["seq"].alias("seq"), st["stack"].alias("stack"), _outs().alias("out"))
             return _let(F.aggregate(F.slice(chunks, b * BLOCK + 1, F.lit(BLOCK)), begin, step),
-                        lambda got: F.struct(got["seq"].alias("seq"), got["stack"].alias("stack"), F.array_append(st["out"], got["out"]).alias("out")).cast(outer_type))
+                        lambda got: F.struct(got["seq"].alias("seq"), got["stack"].alias("stack"), F.array_append(st["out"], got["out"]).alias("out")))
 
         start = F.struct(F.lit(0).alias("seq"), F.array(self.root()).alias("stack"), F.array().cast(f"array<array<{OUT}>>").alias("out")).cast(outer_type)
         found = F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(chunks) - 1) / BLOCK).cast("int")), start, block)["out"])
@@ -236,10 +236,10 @@ def select_paths(df: DataFrame, id_col: str, text_col: str, expressions: dict[in
     types, paths = list(expressions), [parse(e) if isinstance(e, str) else e for e in expressions.values()]
     bare = [Path(p.steps) for p in paths]
     ranged = [k for k, p in enumerate(paths) if (p.low or p.high is not None) and p.steps and p.steps[-1].kind in ("content", "attr")]
-    chunks = token_chunks(F.col(text_col), **options)
+    matches = _let(chunks_of(text_col, options), Fold(bare).matches)
     if ranged:  # a number for the row, given before its matches become rows
         df = df.select(id_col, text_col, F.monotonically_increasing_id().alias("_row"))
-    found = df.select(F.col(id_col).alias("doc_id"), *(["_row"] if ranged else []), F.explode_outer(_let(chunks, Fold(bare).matches)).alias("m")).where("m is not null")
+    found = df.select(F.col(id_col).alias("doc_id"), *(["_row"] if ranged else []), F.explode_outer(matches).alias("m")).where("m is not null")
     if ranged:
         inside = F.lit(False)
         for k in ranged:
