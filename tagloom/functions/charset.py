@@ -45,7 +45,8 @@ def limit(text: Column, allowed: str | None = None, most: int | None = None) ->
         fine = (F.contains(F.lit(allowed), c) | (F.octet_length(c) == 1)) if allowed is not None else code_point(c) <= most
         return F.when(fine, c).otherwise(_reference(c, code_point(c)))
 
-    clean = F.rlike(text, F.lit(r"^[\x00-\x7F]*$"))
+    # not $, which also stands before a last line end, and U+0085, U+2028 and U+2029 are line ends
+    clean = F.rlike(text, F.lit(r"^[\x00-\x7F]*\z"))
     return F.when(clean, text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
 
