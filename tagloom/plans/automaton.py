@@ -8,16 +8,22 @@ one small expression a node. What a path's end selects is given out as the fold
 
 Results are a bag: an activation is the list of places of the elements and attributes that led to it, and each one
 gives its own row. An index or range counts the rows of one activation.
+
+Texts of the quick lane are folded by :func:`walk` in Python workers, all others by the expression of :class:`Fold`;
+both do the same.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
+from tagloom.operators.ahead import Chunk, Lane, ahead
 from tagloom.operators.lexer import chunks_of
 from tagloom.plans.pathexpr import Path, Step, parse
 
@@ -225,6 +231,92 @@ class Fold:
         return F.when(F.size(chunks) > 0, F.concat(*events, found) if events else found).otherwise(_outs())
 
 
+def walk(paths: list[Path], acts: bool):
+    """What :class:`Fold` gives, in Python: for :func:`tagloom.operators.ahead.ahead`. ``acts``: whether activations are wanted."""
+    nodes = trie(paths)
+    kept = [n for n in nodes if n.step is None or n.step.kind in ("tag", "has")]
+    slot = {n.number: i for i, n in enumerate(kept)}
+    names = {n.number: frozenset(n.step.names) if n.step and n.step.names is not None else None for n in nodes}
+    grow = [(slot[n.number], n.step.kind == "tag", n.step.deep, slot[n.parent], names[n.number], n.step.value) for n in kept if n.step is not None and (n.step.kind == "tag" or n.step.deep or n.parent)]
+    events = [(n.step.kind, n.step.deep, slot[n.number if n.number in slot else n.parent], names[n.number], n.step.value, n.ends)
+              for n in nodes if n.step is not None and n.ends and n.step.kind in ("tag", "has", "attr") and (n.step.kind != "attr" or n.step.deep or n.parent)]
+    contents = [(n.step.deep, slot[n.parent], n.ends) for n in nodes if n.step is not None and n.ends and n.step.kind == "content"]
+    closes = [(slot[n.parent], n.ends) for n in nodes if n.step is not None and n.ends and n.step.kind == "close" and n.parent]
+    empties = [k for n in nodes if n.step is None for k in n.ends]
+    root = ([((-1, ()),) if n.step is None else () for n in kept],) * 2
+
+    def fit(attrs: list, only: frozenset | None, value: str | None, after: int) -> list[int]:
+        return [i for i, (name, v) in enumerate(attrs) if i > after and (only is None or name in only) and (value is None or v == value)]
+
+    def element(above: tuple, name: str, seq: int, attrs: list) -> tuple:
+        own, any_ = [()] * len(kept), False
+        for at, tag, deep, parent, only, value in grow:
+            if tag:
+                found = above[deep][parent]
+                if found and (only is None or name in only):
+                    own[at], any_ = [(-1, (*ids, seq)) for _, ids in found], True
+            elif attrs:
+                found = [*above[1][parent], *own[parent]] if deep else own[parent]
+                own[at] = [(i, (*ids, seq + 2 * i + 2)) for ord_, ids in found for i in fit(attrs, only, value, -1 if deep else ord_)]
+                any_ = any_ or bool(own[at])
+        return own, [[*f, *o] if o else f for f, o in zip(above[1], own, strict=True)] if any_ else above[1]
+
+    def gather():
+        out = path, place, kind, value, act = [], [], [], [], []
+
+        def emit(ends: list[int], *row) -> None:
+            for k in ends:
+                for column, x in zip(out, (k, *row), strict=True):
+                    column.append(x)
+
+        def take(chunks: list[Chunk]) -> int:
+            begin, seq, stack = len(path), 0, [root]
+            if empties:
+                emit(empties, 0, chunks[0][0], chunks[0][1], ())
+            for head, name, family, attrs, last, n, _ in chunks:
+                if head == "Content":
+                    top = stack[-1]
+                    for deep, parent, ends in contents:
+                        for _, ids in top[deep][parent]:
+                            emit(ends, seq, head, name, ids)
+                elif head == "CloseTag":
+                    if len(stack) > 1:
+                        top = stack.pop()
+                        for parent, ends in closes:
+                            for _, ids in top[0][parent]:
+                                emit(ends, seq, head, name, ids)
+                elif head in ("OpenTag", "HeaderStart"):
+                    e = element(stack[-1], name, seq, attrs)
+                    for sort, deep, at, only, wanted, ends in events:
+                        if sort == "tag":
+                            for _, ids in e[0][at]:
+                                emit(ends, seq, head, name, ids)
+                        elif sort == "has":
+                            for i, ids in e[0][at]:
+                                emit(ends, ids[-1], family + "Value", attrs[i][1], ids)
+                        elif attrs:
+                            for ord_, ids in e[deep][at]:
+                                for i in fit(attrs, only, wanted, -1 if deep else ord_):
+                                    emit(ends, seq + 2 * i + 2, family + "Value", attrs[i][1], ids)
+                    if last:
+                        for parent, ends in closes:
+                            for _, ids in e[0][parent]:
+                                emit(ends, seq + n - 1, last, "", ids)
+                    elif head == "OpenTag":
+                        stack.append(e)
+                seq += n
+            return len(path) - begin
+
+        def items() -> pa.Array:
+            ids = pa.array(act, pa.list_(pa.int32())) if acts else pa.nulls(len(path), pa.list_(pa.int32()))
+            return pa.StructArray.from_arrays([pa.array(path, pa.int32()), pa.array(place, pa.int32()), pa.array(kind, pa.string()), pa.array(value, pa.string()), ids],
+                                              names=["path", "seq", "type", "value", "act"])
+
+        return take, items
+
+    return gather
+
+
 def select_paths(df: DataFrame, id_col: str, text_col: str, expressions: dict[int, str | Path], **options) -> DataFrame:
     """``doc_id, seq, type_id, token_type, value``: what all ``expressions`` select of the texts, which are read and lexed once.
 
@@ -236,10 +328,18 @@ def select_paths(df: DataFrame, id_col: str, text_col: str, expressions: dict[in
     types, paths = list(expressions), [parse(e) if isinstance(e, str) else e for e in expressions.values()]
     bare = [Path(p.steps) for p in paths]
     ranged = [k for k, p in enumerate(paths) if (p.low or p.high is not None) and p.steps and p.steps[-1].kind in ("content", "attr")]
-    matches = _let(chunks_of(text_col, options), Fold(bare).matches)
-    if ranged:  # a number for the row, given before its matches become rows
-        df = df.select(id_col, text_col, F.monotonically_increasing_id().alias("_row"))
-    found = df.select(F.col(id_col).alias("doc_id"), *(["_row"] if ranged else []), F.explode_outer(matches).alias("m")).where("m is not null")
+    fold = lambda column: _let(chunks_of(column, options), Fold(bare).matches)
+    # with ranges, a number for the row, given before its matches become rows
+    row = [F.monotonically_increasing_id().alias("_row")] if ranged else []
+    if options.get("html"):  # such texts have no quick lane
+        rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
+        matches = fold("text")
+    else:
+        rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *row)
+        lane = Lane(**{k: v for k, v in options.items() if k != "html"})
+        rows = ahead(rows, "text", _parse_datatype_string(f"array<{OUT}>"), lane, walk(bare, bool(ranged))).withColumn("text", F.col("text").cast("string"))
+        matches = F.when(F.col("text").isNull(), F.col("found")).otherwise(fold("text"))
+    found = rows.select("doc_id", *(["_row"] if ranged else []), F.explode_outer(matches).alias("m")).where("m is not null")
     if ranged:
         inside = F.lit(False)
         for k in ranged:
