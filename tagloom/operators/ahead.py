@@ -14,11 +14,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.functions.entities import _PIECES, PREDEFINED
-from tagloom.operators.lexer import _COMPLETE, _NAME, _PAIR, _QUICK, _WS
+from tagloom.operators.lexer import _COMPLETE, _NAME, _PAIR, _QUICK, _WS, TOKEN, chunks_of
 
 #: Rows and bytes of a slice; kinds and sizes of chunks that are remembered, and how many.
 ROWS, LIMIT, SHORT, KEEP = 10_000, 2 << 20, 100, 1 << 14
@@ -170,3 +171,40 @@ def ahead(df: DataFrame, text_col: str, kind: T.ArrayType, lane: Lane, gather: C
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "found"])
 
     return df.mapInArrow(run, schema)
+
+
+def _tokens():
+    """Gathers all tokens, for :func:`ahead`."""
+    out: list[tuple] = []
+
+    def take(chunks: list[Chunk]) -> int:
+        begin = len(out)
+        for head, first, family, attrs, last, _, more in chunks:
+            out.append((head, first, None, None, None))
+            for word in more:
+                out.append((head, word, None, None, None))
+            if attrs:
+                names, values = family + "Name", family + "Value"
+                for i, (n, v) in enumerate(attrs):
+                    out.append((names, n, first, n, i))
+                    out.append((values, v, first, n, i))
+            if last:
+                out.append((last, "", None, None, None))
+        return len(out) - begin
+
+    def items() -> pa.Array:
+        kind, value, tag, name, place = zip(*out, strict=True) if out else [()] * 5
+        text = [pa.array(x, pa.string()) for x in (kind, value, tag, name)]
+        return pa.StructArray.from_arrays([*text[:2], pa.nulls(len(kind), pa.string()), *text[2:], pa.array(place, pa.int32())], names=["type", "value", "error", "tag", "name", "ord"])
+
+    return take, items
+
+
+def with_tokens(df: DataFrame, text_col: str, **options) -> tuple[DataFrame, Column]:
+    """``df``, whose text is not as it was, and the array of all tokens of each row's text; options as for :func:`tagloom.operators.lexer.tokens`."""
+    every = F.flatten(chunks_of(text_col, options))
+    if options.get("html"):  # such texts have no quick lane
+        return df, every
+    lane = Lane(**{k: v for k, v in options.items() if k != "html"})
+    rows = ahead(df.withColumn(text_col, F.col(text_col).cast("binary")), text_col, T.ArrayType(T._parse_datatype_string(TOKEN)), lane, _tokens)
+    return rows.withColumn(text_col, F.col(text_col).cast("string")), F.when(F.col(text_col).isNull(), F.col("found")).otherwise(every)

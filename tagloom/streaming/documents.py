@@ -15,17 +15,21 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tagloom.functions.entities import PREDEFINED
-from tagloom.operators.lexer import _COMPLETE, _NAME, _PAIR, _WS, CHUNK, TOKEN, token_array
+from tagloom.operators.ahead import with_tokens
+from tagloom.operators.lexer import _COMPLETE, _NAME, _PAIR, _WS, CHUNK
 from tagloom.plans.automaton import select_paths
 
 _chunk, _complete, _pair = re.compile(CHUNK), re.compile(rf"(?s)(?:{_COMPLETE})"), re.compile(_PAIR)
 _open, _shut, _entity = re.compile(rf"<{_NAME}"), re.compile(rf"/{_WS}*>$"), re.compile(r"&([A-Za-z_][^;\s&<#]{0,14});")
 _BLANK = "".join(map(chr, range(1, 33)))
+#: Fragments of a batch.
+SLICE = 1000
 FRAGMENT = "doc_id string, text string, skip int, base int, last boolean"
 
 
@@ -120,6 +124,12 @@ def _rows(key: str, found: Iterator[tuple[str, int, int, bool]]) -> pd.DataFrame
     return pd.DataFrame([(key, *f) for f in found], columns=["doc_id", "text", "skip", "base", "last"])
 
 
+def _batch(found: list[tuple]) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.string(), "text": pa.string(), "skip": pa.int32(), "base": pa.int32(), "last": pa.bool_()}
+    columns = zip(*found, strict=True) if found else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
 def fragments(chunks: DataFrame, timeout_ms: int | None = None, entities: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text, skip, base, last`` of ``doc_id string, chunk int, data string, is_last boolean``.
 
@@ -129,13 +139,23 @@ def fragments(chunks: DataFrame, timeout_ms: int | None = None, entities: tuple[
     is one word, so that late repeats of its chunks do nothing; with ``timeout_ms`` that goes too.
     """
     if not chunks.isStreaming:
-        def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            cutter = Cutter(entities=entities)
-            pdf = pdf.sort_values("chunk")
-            found = [f for c, d, e in zip(pdf["chunk"], pdf["data"], pdf["is_last"], strict=True) for f in cutter.feed(int(c), d, bool(e))]
-            return _rows(key[0], iter([*found, *cutter.finish()]))
-
-        return chunks.groupBy("doc_id").applyInPandas(whole, FRAGMENT)
+        def whole(batches):
+            cutter, key, found = None, None, []
+            for batch in batches:
+                for doc, c, d, e in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "chunk", "data", "is_last")), strict=True):
+                    if cutter is None or doc != key:
+                        found += [] if cutter is None else [(key, *f) for f in cutter.finish()]
+                        cutter, key = Cutter(entities=entities), doc
+                    found += [(key, *f) for f in cutter.feed(int(c), d, bool(e))]
+                    if len(found) >= SLICE:
+                        yield _batch(found)
+                        found = []
+            found += [] if cutter is None else [(key, *f) for f in cutter.finish()]
+            yield _batch(found)
+
+        # one document after the other, chunk by chunk: nothing is held but what the cutter keeps
+        rows = chunks.select(F.col("doc_id").cast("string").alias("doc_id"), "chunk", "data", "is_last").repartition("doc_id")
+        return rows.sortWithinPartitions("doc_id", "chunk").mapInArrow(whole, FRAGMENT)
 
     def step(key, frames, state: GroupState):
         if state.hasTimedOut:
@@ -162,11 +182,10 @@ def fragments(chunks: DataFrame, timeout_ms: int | None = None, entities: tuple[
 def scan_chunks(chunks: DataFrame, timeout_ms: int | None = None, entities: dict[str, str] | None = None, **options) -> DataFrame:
     """``doc_id, seq, type, value, error`` of documents in chunks, each token as soon as its construct is complete: as :func:`tokens` of the whole texts."""
     parts = fragments(chunks, timeout_ms, tuple(entities or ()))
-    every = token_array(F.col("text"), entities=entities, **options)
+    rows, every = with_tokens(parts.where("text != '' or last"), "text", entities=entities, **options)
     # the end is that of the last fragment
-    kept = F.filter(every, lambda t, i: (i >= F.col("skip")) & ((t["type"] != "Exit") | F.col("last")))
-    rows = parts.where("text != '' or last").select("doc_id", "base", F.posexplode(kept.cast(f"array<{TOKEN}>")).alias("at", "t"))
-    return rows.select("doc_id", (F.col("base") + F.col("at")).cast("int").alias("seq"), "t.type", "t.value", "t.error")
+    rows = rows.select("doc_id", "skip", "base", "last", F.posexplode_outer(every).alias("at", "t")).where("t is not null and at >= skip and (t.type != 'Exit' or last)")
+    return rows.select("doc_id", (F.col("base") + F.col("at") - F.col("skip")).cast("int").alias("seq"), "t.type", "t.value", "t.error")
 
 
 def select_chunks(chunks: DataFrame, expressions: dict, timeout_ms: int | None = None, entities: dict[str, str] | None = None, **options) -> DataFrame:
