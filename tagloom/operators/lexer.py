@@ -5,6 +5,7 @@ without backtracking, and each chunk becomes an array of token structs. Two lane
 expression that only takes well-formed tags, so that a chunk's first characters say what it is and few string
 functions give its tokens. A text that it does not cover to its end, or that has an unknown entity, takes the exact
 lane, which finds the first error and its kind. The first error ends a document's tokens, else ``Exit`` does.
+Most texts of the quick lane do not come here, see :mod:`tagloom.operators.ahead`.
 """
 
 from __future__ import annotations
@@ -249,11 +250,6 @@ def chunks_of(text_col: str, options: dict) -> Column:
     return built((text_col, frozen(options)), lambda: token_chunks(F.col(text_col), **options))
 
 
-def token_array(text: Column, **options) -> Column:
-    """All tokens of a text as one array column; options as for :func:`tokens`."""
-    return F.flatten(token_chunks(text, **options))
-
-
 def tokens(df: DataFrame, id_col: str, text_col: str, wide: bool = False, **options) -> DataFrame:
     """``doc_id, seq, type, value, error``: one row per token; a null text has none.
 
@@ -262,9 +258,11 @@ def tokens(df: DataFrame, id_col: str, text_col: str, wide: bool = False, **opti
     a value, ``strip_bom`` passes over a byte order mark. ``values`` names the kinds (of :data:`MASKABLE`) whose values
     are wanted: those of others are null and not built, except that a text with an error has all of them.
     """
-    arr = F.flatten(chunks_of(text_col, options))
+    from tagloom.operators.ahead import with_tokens
+
+    rows, arr = with_tokens(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", **options)
     # outer: else Spark tests the array for being empty first, and lexes twice
-    rows = df.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(arr).alias("seq", "t")).where("t is not null")
+    rows = rows.select("doc_id", F.posexplode_outer(arr).alias("seq", "t")).where("t is not null")
     return rows.select("doc_id", "seq", "t.type", "t.value", "t.error", *(["t.tag", "t.name", "t.ord"] if wide else []))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from tagloom.operators.ahead import Lane, ahead
+from tagloom.operators.ahead import Lane, ahead, with_tokens
 from tagloom.operators.lexer import chunks_of
 from tagloom.plans.automaton import OUT, Fold, _let, walk
 from tagloom.plans.pathexpr import ROOT, parse
@@ -34,6 +34,16 @@ def test_paths_ahead_are_those_of_the_expressions(spark):
     assert sum(map(len, (r["want"] for r in both))) > 3000
 
 
+@pytest.mark.parametrize("options", [{"entities": {"copy": "©"}}, {"cdata": True, "strip_bom": True}, {"values": ("Content",)}])
+def test_tokens_ahead_are_those_of_the_expressions(spark, options):
+    rows = spark.createDataFrame(_texts(1500, 2), "id long, t string").repartition(4).withColumn("text", F.col("t"))
+    got = with_tokens(rows, "text", **options)[0]
+    both = got.where("text is null").select("t", "found", F.flatten(chunks_of("t", options)).alias("want")).collect()
+    assert 400 < len(both) < 1500
+    for r in both:
+        assert r["found"] == r["want"], r["t"]
+
+
 def test_complete_texts_are_taken_on_and_others_handed_on(spark):
     good = ["<?xml version=\"1.0\" encoding=\"UTF-8\"?>\n<item flag=\"A\">17</item>", "<a>1 &lt; 2</a>", "<!DOCTYPE html><p>x<br>y", "<a/>"]
     bad = ["x<a/>", "<a>&nope;</a>", "<a b>", "<a>1</a", ""]
@@ -50,3 +60,13 @@ def test_selections_go_ahead_of_the_expressions(spark, query):
     from tagloom.queries import QUERIES
 
     assert "MapInArrow" in QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("query", ["chunked_scan", "chunked_select"])
+def test_chunks_of_a_table_are_cut_in_order_and_not_gathered(spark, query):
+    """A document's chunks pass the cutter one by one, they are no group in memory; the lexer of fragments goes ahead of the expressions."""
+    from oracles import SF
+    from tagloom.queries import QUERIES
+
+    plan = QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and plan.count("MapInArrow") == 2
